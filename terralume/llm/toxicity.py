@@ -245,7 +245,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", rows: int =
     x.unpersist()
     weights = np.array([0.0] * len(kept) + [math.log(yes + 0.5) - math.log(no + 0.5)])
     if kept and len(sample):
-        sample = sample.iloc[sorted(range(len(sample)), key=lambda i: (sample["label"][i], sample["f"][i].tolist()))]
+        sample = sample.iloc[sorted(range(len(sample)), key=lambda i: (sample["label"][i], list(sample["f"][i])))]
         weights = _regress(list(sample["f"]), (sample["label"].to_numpy() == 1).astype(float), len(kept))
     return {"counts": counts, "kept": kept, "weights": weights}
 
