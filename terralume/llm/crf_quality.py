@@ -165,11 +165,11 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", rows: int
             made = [document_features(t)[0].astype(np.float32) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in made], pa.binary()), b.column(1)], names=["x", "label"])
 
-    sample = training_rows(docs, labels, column, rows).mapInArrow(features, "x binary, label int").toPandas()
+    sample = training_rows(docs, labels, column, rows).mapInArrow(features, "x binary, label int").toArrow()
     if not len(sample):
         return {"w": np.zeros(WIDTH), "transitions": np.zeros((2, 2))}
-    sample = sample.sort_values(["label", "x"], kind="stable")
-    return fit([np.frombuffer(x, np.float32).reshape(-1, WIDTH).astype(np.float64) for x in sample["x"]], (sample["label"].to_numpy() == 1).astype(int))
+    rows = sorted(zip(sample["label"].to_pylist(), sample["x"].to_pylist()))
+    return fit([np.frombuffer(x, np.float32).reshape(-1, WIDTH).astype(np.float64) for _, x in rows], np.array([int(y == 1) for y, _ in rows]))
 
 
 def with_score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:

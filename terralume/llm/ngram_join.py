@@ -110,9 +110,9 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scan = materialize(docs.mapInArrow(lambda it: _scan(it, width), "doc_id long, n long, node binary, counter int, times long"))
     rows = scan.filter("counter is null").select("doc_id", "n", "node")
-    often = scan.filter("counter is not null").groupBy("counter").agg(F.sum("times").alias("times")).toPandas()  # 2 ** COUNTER_BITS rows at most
+    often = scan.filter("counter is not null").groupBy("counter").agg(F.sum("times").alias("times")).toArrow()  # 2 ** COUNTER_BITS rows at most
     table = np.zeros(1 << COUNTER_BITS, np.uint8)
-    table[often["counter"].to_numpy(np.int64)] = np.log2(1 + often["times"].to_numpy(np.float64)).astype(np.uint8)
+    table[often["counter"].to_numpy()] = np.log2(1 + often["times"].to_numpy().astype(np.float64)).astype(np.uint8)
     rarity = docs.sparkSession.sparkContext.broadcast(table.tobytes())
 
     posts = docs.select("text").mapInArrow(lambda it: _prefixes(it, width, percent, rarity.value), "token long, node binary, n int, pos int")

@@ -78,9 +78,9 @@ def _count(batches):
 
 def language_model(docs: DataFrame) -> np.ndarray:
     """Counts of character n-grams of all words of all documents, sum(SLOTS) numbers."""
-    rows = docs.select("text").mapInArrow(_count, "slot int, times long").groupBy("slot").agg(F.sum("times").alias("times")).toPandas()  # sum(SLOTS) rows at most
+    rows = docs.select("text").mapInArrow(_count, "slot int, times long").groupBy("slot").agg(F.sum("times").alias("times")).toArrow()  # sum(SLOTS) rows at most
     out = np.zeros(sum(SLOTS), np.float64)
-    out[rows["slot"].to_numpy(np.int64)] = rows["times"].to_numpy(np.float64)
+    out[rows["slot"].to_numpy()] = rows["times"].to_numpy()
     return out
 
 
@@ -241,12 +241,12 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", rows: int =
             f = [sorted(place[i] for i in r if i in place) for r in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.int32())), b.column(1)], names=["f", "label"])
 
-    sample = x.mapInArrow(only, "f array<int>, label int").toPandas()  # rows times KEPT at most, most are far shorter
+    sample = x.mapInArrow(only, "f array<int>, label int").toArrow()  # rows times KEPT at most, most are far shorter
     x.unpersist()
     weights = np.array([0.0] * len(kept) + [math.log(yes + 0.5) - math.log(no + 0.5)])
     if kept and len(sample):
-        sample = sample.iloc[sorted(range(len(sample)), key=lambda i: (sample["label"][i], list(sample["f"][i])))]
-        weights = _regress(list(sample["f"]), (sample["label"].to_numpy() == 1).astype(float), len(kept))
+        rows = sorted(zip(sample["label"].to_pylist(), sample["f"].to_pylist()))
+        weights = _regress([np.array(f, np.int64) for _, f in rows], np.array([float(y == 1) for y, _ in rows]), len(kept))
     return {"counts": counts, "kept": kept, "weights": weights}
 
 
