@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralume.llm.common import bucket_count, materialize, shingle_sets
-from terralume.llm.ngram_join import _node, resolve
+from terralume.llm.ngram_join import PARITY, ROWS, _node, resolve, summaries
 
 WIDTH = 5
 PERMUTATIONS = 128
 #: Bands of so many rows each: at a similarity of 0.8, a pair shares a band with probability 0.998.
-BANDS, ROWS = 21, 6
+BANDS, BAND_ROWS = 21, 6
 
 _random = np.random.default_rng(20240229)
 _A = _random.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -115,7 +115,7 @@ def _bands(batches, width: int):
             if len(s):
                 sig = signature(s)
                 for i in range(BANDS):
-                    raw = bytes([i]) + sig[i * ROWS : (i + 1) * ROWS].tobytes()
+                    raw = bytes([i]) + sig[i * BAND_ROWS : (i + 1) * BAND_ROWS].tobytes()
                     token.append(int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "big", signed=True))
                 node += [_node(s)] * BANDS
                 n += [len(s)] * BANDS
@@ -124,8 +124,8 @@ def _bands(batches, width: int):
 
 def _nodes(batches, width: int):
     for b in batches:
-        sets = list(shingle_sets(b.column(1).to_pylist(), width))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.binary())], names=["doc_id", "n", "node"])
+        columns = summaries(b.column(0), list(shingle_sets(b.column(1).to_pylist(), width)))
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "node", *PARITY])
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = 80) -> DataFrame:
@@ -134,6 +134,6 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = 80) -> D
     Nulls, empty texts and repeats as in ngram_join.similar_groups.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = materialize(docs.mapInArrow(lambda it: _nodes(it, width), "doc_id long, n long, node binary"))
+    rows = materialize(docs.mapInArrow(lambda it: _nodes(it, width), ROWS))
     posts = docs.select("text").mapInArrow(lambda it: _bands(it, width), "token long, node binary, n int, pos int")
     return resolve(docs, rows, posts, width, percent)

@@ -29,9 +29,21 @@ def _node(s: np.ndarray) -> bytes:
     return int(mix(s).sum(dtype=np.uint64)).to_bytes(8, "big") + int(np.bitwise_xor.reduce(mix(s ^ np.uint64(0x5DEECE66D)))).to_bytes(8, "big")
 
 
+PARITY = [f"p{i}" for i in range(8)]
+ROWS = "doc_id long, n long, node binary, " + ", ".join(f"{p} long" for p in PARITY)
+
+
+def summaries(ids: pa.Array, sets: list[np.ndarray]) -> list[pa.Array]:
+    """Columns of ROWS: the sets' sizes, nodes and parities; an empty set has no node."""
+    parity = np.zeros((len(sets), 8), np.int64)
+    for i, s in enumerate(sets):
+        parity[i] = np.packbits(np.bincount((s & np.uint64(511)).astype(np.int64), minlength=512) & 1).view(">i8")
+    return [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.binary()), *(pa.array(parity[:, i]) for i in range(8))]
+
+
 def _scan(batches, width: int):
-    """Rows of documents (doc_id, n, node), and rows (counter, times) of n-grams met twice or more by the task."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("counter", pa.int32()), ("times", pa.int64())])
+    """Rows of documents (ROWS), and rows (counter, times) of n-grams met twice or more by the task."""
+    names = ["doc_id", "n", "node", *PARITY, "counter", "times"]
     held: list = []
     size = 0
 
@@ -40,13 +52,12 @@ def _scan(batches, width: int):
         often = times > 1
         per = np.bincount((tokens[often] >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), times[often], 1 << COUNTER_BITS)
         at = np.flatnonzero(per)
-        none = pa.nulls(len(at))
-        return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(at, pa.int32()), pa.array(per[at].astype(np.int64))], schema=schema)
+        none = pa.nulls(len(at), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, pa.nulls(len(at), pa.binary()), *[none] * 8, pa.array(at, pa.int32()), pa.array(per[at].astype(np.int64))], names=names)
 
     for b in batches:
         sets = list(shingle_sets(b.column(1).to_pylist(), width))
-        none = pa.nulls(len(sets))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.binary()), none.cast(pa.int32()), none.cast(pa.int64())], schema=schema)
+        yield pa.RecordBatch.from_arrays([*summaries(b.column(0), sets), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.int64())], names=names)
         held += sets
         size += sum(map(len, sets))
         if size > FLUSH:
@@ -78,10 +89,10 @@ def _prefixes(batches, width: int, percent: int, rarity: bytes):
 
 
 def _sets(batches, width: int):
+    """(node, grams) of rows (node, text) whose text makes that node (an id that repeats may have other texts)."""
     for b in batches:
-        sets = list(shingle_sets(b.column(1).to_pylist(), width))
-        parity = np.array([np.packbits(np.bincount((s & np.uint64(511)).astype(np.int64), minlength=512) & 1).view(">i8") for s in sets], np.int64).reshape(-1, 8)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), *(pa.array(parity[:, i]) for i in range(8))], names=["node", "grams", *(f"p{i}" for i in range(8))])
+        rows = [(k, s) for k, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1).to_pylist(), width)) if len(s) and _node(s) == k]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.binary()), pa.array([s.tobytes() for _, s in rows], pa.binary())], names=["node", "grams"])
 
 
 def _verified(batches, percent: int):
@@ -94,10 +105,25 @@ def _verified(batches, percent: int):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose exact sets are similar enough."""
+def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose exact sets are similar enough; only texts of nodes in pairs are looked at."""
+    pairs = materialize(pairs)
+    wanted = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "doc_id"), "node").filter("doc_id is not null"))
+    found = docs.join(small(wanted, 40), "doc_id").select("node", "text")
+    sets = materialize(found.mapInArrow(lambda it: _sets(it, width), "node binary, grams binary").dropDuplicates(["node"]))
     x = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
-    return x.select("a", "b", "ga", "gb").mapInArrow(lambda it: _verified(it, percent), "a binary, b binary")
+    return materialize(x.select("a", "b", "ga", "gb").mapInArrow(lambda it: _verified(it, percent), "a binary, b binary"))
+
+
+def _sided(df: DataFrame, side: str) -> DataFrame:
+    return df.select(*(F.col(c).alias(f"{c}_{side}") for c in df.columns))
+
+
+def _room(percent: int):
+    """Whether sizes and parities of two nodes (_a, _b) leave room for the similarity."""
+    distance = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in PARITY[1:]), F.bit_count(F.col("p0_a").bitwiseXOR(F.col("p0_b"))))
+    size = F.col("n_a") + F.col("n_b")
+    return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & ((100 + percent) * distance <= (100 - percent) * size)
 
 
 def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -108,8 +134,8 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     like any other, other columns don't matter, and no documents give no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scan = materialize(docs.mapInArrow(lambda it: _scan(it, width), "doc_id long, n long, node binary, counter int, times long"))
-    rows = scan.filter("counter is null").select("doc_id", "n", "node")
+    scan = materialize(docs.mapInArrow(lambda it: _scan(it, width), ROWS + ", counter int, times long"))
+    rows = scan.filter("counter is null").drop("counter", "times")
     often = scan.filter("counter is not null").groupBy("counter").agg(F.sum("times").alias("times")).toArrow()  # 2 ** COUNTER_BITS rows at most
     table = np.zeros(1 << COUNTER_BITS, np.uint8)
     table[often["counter"].to_numpy()] = np.log2(1 + often["times"].to_numpy().astype(np.float64)).astype(np.uint8)
@@ -120,40 +146,34 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
 
 
 def resolve(docs: DataFrame, rows: DataFrame, posts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Groups of rows (doc_id, n, node) from postings (token, node, n, pos), all links verified on exact sets."""
+    """Groups of rows (ROWS) from postings (token, node, n, pos), all links verified on exact sets."""
     here = Window.partitionBy("token")
     posts = materialize(posts.withColumns({"first": F.min("node").over(here), "last": F.max("node").over(here)}).filter("first < last").drop("last").distinct())
+    nodes = materialize(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", *PARITY))))
+    known = nodes.drop("doc_id")
 
-    nodes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = materialize(posts.select("node").distinct().join(nodes, "node").filter("doc_id is not null"))
-    found = docs.join(small(wanted, 40), "doc_id")
-    sets = materialize(found.select("node", "text").mapInArrow(lambda it: _sets(it, width), "node binary, grams binary, " + ", ".join(f"p{i} long" for i in range(8))))
-
-    leads = posts.filter("node > first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-    links = materialize(verify(leads, sets, percent))
+    leads = posts.filter("node > first").select("node", "first").distinct()
+    leads = leads.join(_sided(known, "a"), F.col("node") == F.col("node_a")).join(_sided(known, "b"), F.col("first") == F.col("node_b"))
+    links = verify(docs, nodes, leads.filter(_room(percent)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), width, percent)
     roots = components(links)
 
     placed = posts.drop("first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.withColumns({"least": F.min("root").over(here), "most": F.max("root").over(here)}).filter("least < most").drop("least", "most")
-    mixed = materialize(mixed.join(sets.drop("grams"), "node"))
-    x, y = (mixed.select("token", *(F.col(c).alias(f"{c}_{side}") for c in mixed.columns if c != "token")) for side in "ab")
-    distance = sum((F.bit_count(F.col(f"p{i}_a").bitwiseXOR(F.col(f"p{i}_b"))) for i in range(1, 8)), F.bit_count(F.col("p0_a").bitwiseXOR(F.col("p0_b"))))
-    size = F.col("n_a") + F.col("n_b")
+    mixed = materialize(mixed.join(known.drop("n"), "node"))
     ahead = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))  # room for overlap from the first common n-gram on
     fits = (
-        (x.token == y.token)
+        (F.col("token_a") == F.col("token_b"))
         & (F.col("node_a") > F.col("node_b"))
         & (F.col("root_a") != F.col("root_b"))
-        & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        & ((100 + percent) * ahead >= percent * size)
-        & ((100 + percent) * distance <= (100 - percent) * size)
+        & ((100 + percent) * ahead >= percent * (F.col("n_a") + F.col("n_b")))
+        & _room(percent)
     )
-    pairs = x.join(y, fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    more = materialize(verify(pairs, sets, percent))
+    pairs = _sided(mixed, "a").join(_sided(mixed, "b"), fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    more = verify(docs, nodes, pairs, width, percent)
     if more.limit(1).count():
         roots = components(links.unionByName(more))
 
-    least = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = least.join(least.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("node", "component_id")
     return rows.join(least, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
