@@ -125,7 +125,7 @@ def _bands(batches, width: int):
 def _nodes(batches, width: int):
     for b in batches:
         columns = summaries(b.column(0), list(shingle_sets(b.column(1).to_pylist(), width)))
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "node", *PARITY])
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "node", *PARITY, "wide"])
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = 80) -> DataFrame:

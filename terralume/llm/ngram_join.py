@@ -30,20 +30,25 @@ def _node(s: np.ndarray) -> bytes:
 
 
 PARITY = [f"p{i}" for i in range(8)]
-ROWS = "doc_id long, n long, node binary, " + ", ".join(f"{p} long" for p in PARITY)
+ROWS = "doc_id long, n long, node binary, " + ", ".join(f"{p} long" for p in PARITY) + ", wide array<long>"
 
 
 def summaries(ids: pa.Array, sets: list[np.ndarray]) -> list[pa.Array]:
-    """Columns of ROWS: the sets' sizes, nodes and parities; an empty set has no node."""
+    """Columns of ROWS: the sets' sizes, nodes and parities (wide: about a bit for each n-gram of large sets); an empty set has no node."""
     parity = np.zeros((len(sets), 8), np.int64)
+    wide: list = [None] * len(sets)
     for i, s in enumerate(sets):
-        parity[i] = np.packbits(np.bincount((s & np.uint64(511)).astype(np.int64), minlength=512) & 1).view(">i8")
-    return [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.binary()), *(pa.array(parity[:, i]) for i in range(8))]
+        bits = 1 << max(9, (len(s) - 1).bit_length() if len(s) else 0)
+        odd = (np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+        parity[i] = np.packbits(np.bitwise_xor.reduce(odd.reshape(-1, 512))).view(">i8")
+        if bits > 512:
+            wide[i] = np.packbits(odd).view(">i8").astype(np.int64)
+    return [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.binary()), *(pa.array(parity[:, i]) for i in range(8)), pa.array(wide, pa.list_(pa.int64()))]
 
 
 def _scan(batches, width: int):
     """Rows of documents (ROWS), and rows (counter, times) of n-grams met twice or more by the task."""
-    names = ["doc_id", "n", "node", *PARITY, "counter", "times"]
+    names = ["doc_id", "n", "node", *PARITY, "wide", "counter", "times"]
     held: list = []
     size = 0
 
@@ -53,7 +58,7 @@ def _scan(batches, width: int):
         per = np.bincount((tokens[often] >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), times[often], 1 << COUNTER_BITS)
         at = np.flatnonzero(per)
         none = pa.nulls(len(at), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, pa.nulls(len(at), pa.binary()), *[none] * 8, pa.array(at, pa.int32()), pa.array(per[at].astype(np.int64))], names=names)
+        return pa.RecordBatch.from_arrays([none, none, pa.nulls(len(at), pa.binary()), *[none] * 8, pa.nulls(len(at), pa.list_(pa.int64())), pa.array(at, pa.int32()), pa.array(per[at].astype(np.int64))], names=names)
 
     for b in batches:
         sets = list(shingle_sets(b.column(1).to_pylist(), width))
@@ -107,12 +112,16 @@ def _verified(batches, percent: int):
 
 def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose exact sets are similar enough; only texts of nodes in pairs are looked at."""
-    pairs = materialize(pairs)
+    wide = nodes.select("node", "n", "wide")
+    both = pairs.join(_sided(wide, "a"), F.col("a") == F.col("node_a")).join(_sided(wide, "b"), F.col("b") == F.col("node_b"))
+    distance = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    fits = (100 + percent) * distance <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
+    pairs = materialize(both.filter(F.when(F.size("wide_a") == F.size("wide_b"), fits).otherwise(True)).select("a", "b"))
     wanted = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "doc_id"), "node").filter("doc_id is not null"))
     found = docs.join(small(wanted, 40), "doc_id").select("node", "text")
-    sets = materialize(found.mapInArrow(lambda it: _sets(it, width), "node binary, grams binary").dropDuplicates(["node"]))
+    sets = materialize(found.mapInArrow(lambda it: _sets(it, width), "node binary, grams binary"))
     x = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
-    return materialize(x.select("a", "b", "ga", "gb").mapInArrow(lambda it: _verified(it, percent), "a binary, b binary"))
+    return materialize(x.select("a", "b", "ga", "gb").mapInArrow(lambda it: _verified(it, percent), "a binary, b binary").distinct())
 
 
 def _sided(df: DataFrame, side: str) -> DataFrame:
@@ -149,8 +158,8 @@ def resolve(docs: DataFrame, rows: DataFrame, posts: DataFrame, width: int, perc
     """Groups of rows (ROWS) from postings (token, node, n, pos), all links verified on exact sets."""
     here = Window.partitionBy("token")
     posts = materialize(posts.withColumns({"first": F.min("node").over(here), "last": F.max("node").over(here)}).filter("first < last").drop("last").distinct())
-    nodes = materialize(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", *PARITY))))
-    known = nodes.drop("doc_id")
+    nodes = materialize(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", *PARITY, "wide"))))
+    known = nodes.drop("doc_id", "wide")
 
     leads = posts.filter("node > first").select("node", "first").distinct()
     leads = leads.join(_sided(known, "a"), F.col("node") == F.col("node_a")).join(_sided(known, "b"), F.col("first") == F.col("node_b"))
