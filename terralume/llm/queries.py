@@ -71,4 +71,18 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    stops = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
+    kept = " and ".join(f"({ratio}) between {least} and {most}" for _, ratio, least, most in quality_rules.RULES)
+    op5 = rf"""
+    with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+    w as (select r, doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from d),
+    p as (select r, unnest(range(1, len(ws) - 1)) as i, ws from w where len(ws) > 2),
+    g as (select r, i, count(*) over (partition by r, ws[i], ws[i + 1], ws[i + 2]) as n from p),
+    q as (select r, count(distinct j) as n_repeat_words from (select r, unnest([i, i + 1, i + 2]) as j from g where n > 1) group by r),
+    c as (select doc_id, cast(len(ws) as bigint) as n_words, cast(length(array_to_string(ws, '')) as bigint) as word_chars, cast(len(regexp_extract_all(t, '[#*$%&|<>]')) as bigint) as n_symbols,
+        cast(len(ls) - len(list_distinct(ls)) as bigint) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, len(ls) as n_lines, len(regexp_extract_all(t, '!!')) as n_bangs,
+        len(list_filter(ws, lambda x: x in ({stops}))) as n_stop_words, len(list_filter(range(1, len(ws)), lambda i: ws[i] = ws[i + 1])) as n_same_as_last
+        from w left join q using (r)),
+    f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from c)
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce({kept}, false) as kept from f"""
+    return {"op5_quality_rules": op5}

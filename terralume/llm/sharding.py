@@ -2,9 +2,10 @@
 
 Every document starts in a shard by hash. All of one text in one starting shard are a unit, so that a
 text has 16 units at most, whatever its number of copies, and the propagation joins units, not documents.
-In each step every text names the shard that holds most of it; its units elsewhere ask to move there, and
-requests are granted in order while the shard has room. Texts without copies have no edges: they fill up
-what is left, in proportion, which makes the law hold exactly.
+In each step every text names a shard: one that has room for all of it if there is one, then that which
+holds most of it. Its units elsewhere ask to move there, and requests are granted in order while the shard
+has room. Texts without copies have no edges, and texts of more copies than half a shard (a few dozen at
+most) are cut anyway: they fill up what is left, the latter one after the other, so that the law holds exactly.
 """
 
 from __future__ import annotations
@@ -15,19 +16,21 @@ from pyspark.sql import functions as F
 from terralume.llm.common import bucket_count, distributed_rank, materialize
 
 SHARDS = 16
-STEPS = 4
+STEPS = 5
 
 
 def _propagate(units: DataFrame, room: float, steps: int) -> DataFrame:
     """units (k1, k2, origin, weight): add shard, so that no shard's units weigh more than room, if it can be so."""
     x = materialize(units.withColumn("shard", F.col("origin")))
     for step in range(steps):
-        held = x.groupBy("k1", "k2", "shard").agg(F.sum("weight").alias("held"))
-        best = held.groupBy("k1", "k2").agg(F.max_by("shard", F.struct("held", F.xxhash64("k1", F.lit(step), "shard"))).alias("to"))
         load = {r[0]: int(r[1]) for r in x.groupBy("shard").agg(F.sum("weight")).collect()}  # a row for each shard
+        space = F.array(*(F.lit(max(0, int(room) - load.get(s, 0))) for s in range(SHARDS)))
+        held = x.groupBy("k1", "k2", "shard").agg(F.sum("weight").alias("held")).withColumn("all", F.sum("held").over(Window.partitionBy("k1", "k2")))
+        fits = F.element_at(space, F.col("shard") + 1) >= F.col("all") - F.col("held")
+        best = held.groupBy("k1", "k2").agg(F.max_by("shard", F.struct(fits, "held", F.xxhash64("k1", F.lit(step), "shard"))).alias("to"))
         asks = x.join(best, ["k1", "k2"])
         asks = materialize(asks.withColumn("asks", (F.col("to") != F.col("shard")).cast("int")))
-        free = F.element_at(F.array(*(F.lit(max(0, int(room) - load.get(s, 0))) for s in range(SHARDS))), F.col("to") + 1)
+        free = F.element_at(space, F.col("to") + 1)
         moving = asks.filter("asks = 1")
         if not moving.limit(1).count():
             return x
@@ -51,23 +54,32 @@ def shard(docs: DataFrame, steps: int = STEPS) -> DataFrame:
     units = rows.groupBy("k1", "k2", "origin").agg(F.count(F.lit(1)).alias("weight"))
     text = Window.partitionBy("k1", "k2")
     units = materialize(units.withColumn("copies", F.sum("weight").over(text)))
-    linked = _propagate(units.filter("copies > 1").drop("copies"), total // SHARDS, steps)
+    room = total // SHARDS
+    heavy = units.filter(F.col("copies") > max(1, room // 2)).select("k1", "k2", "copies").distinct().orderBy("k1", "k2").collect()  # 2 * SHARDS texts, about, at most
+    linked = _propagate(units.filter(F.col("copies").between(2, max(1, room // 2))).drop("copies"), room, steps)
     place = F.col("shard")
     full = [total // SHARDS + (s < total % SHARDS) for s in range(SHARDS)]
     load = {r[0]: int(r[1]) for r in linked.groupBy("shard").agg(F.sum("weight")).collect()}
-    labelled = materialize(rows.join(linked.select("k1", "k2", "origin", "shard"), ["k1", "k2", "origin"], "left").drop("k1", "k2", "origin"))
+    labelled = materialize(rows.join(linked.select("k1", "k2", "origin", "shard"), ["k1", "k2", "origin"], "left").drop("origin"))
+    offsets, begin = [], 0
+    for i, h in enumerate(heavy):
+        offsets.append((h["k1"], h["k2"], i, begin))
+        begin += h["copies"]
+    after = F.lit(begin).cast("long")
+    labelled = labelled.join(F.broadcast(rows.sparkSession.createDataFrame(offsets, "k1 long, k2 long, heavy int, ahead long")), ["k1", "k2"], "left").drop("k1", "k2")
     # What has no edges, and what is over a shard's count, goes to open places in the order of a distributed rank.
     ranked = materialize(distributed_rank(labelled, ["shard"], ["doc_id", "text_crc32", "size"], total, salt=["doc_id", "text_crc32"]))
     counts = F.element_at(F.array(*map(F.lit, full)), F.coalesce(place, F.lit(0)) + 1)
     stays = place.isNotNull() & (F.col("rank") < counts)
     settled = ranked.filter(stays).withColumn("slot", F.col("rank")).drop("rank")
-    open_ = ranked.filter(~F.coalesce(stays, F.lit(False))).select("doc_id", "size", "text_crc32")
+    open_ = ranked.filter(~F.coalesce(stays, F.lit(False))).select("doc_id", "size", "text_crc32", "heavy", "ahead")
     free, begin = [], 0
     for s in range(SHARDS):
         used = min(load.get(s, 0), full[s])
         free.append((begin, s, used))
         begin += full[s] - used
-    open_ = distributed_rank(materialize(open_), [], ["doc_id", "text_crc32", "size"], total)
+    open_ = distributed_rank(materialize(open_), ["heavy"], ["doc_id", "text_crc32", "size"], total)
+    open_ = open_.withColumn("rank", F.col("rank") + F.coalesce("ahead", after))
     to, slot = F.lit(None).cast("int"), F.lit(None).cast("long")
     for first, s, used in free:
         here = F.col("rank") >= first

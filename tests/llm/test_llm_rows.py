@@ -1,0 +1,239 @@
+"""Operators on single documents and on whole tables, against plain Python and their laws."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from terralume.llm import crf_quality, mixing, packing, pii, quality_rules, sharding, toxicity, url_filter
+from terralume.llm.queries import tokenizer_path
+
+PARTS = ["the", "of", "A", "é", "idiot", "12", "a\nb", "\n", "x*", "!!", "", "\t", "lose lose", "日本", " ", "<|endoftext|>", "don't", "²", "\x1c"]
+
+
+def texts(seed, n=60):
+    r = random.Random(seed)
+    return [None, "", " \n\t", "x", "word " * 3000] + [" ".join(r.choice(PARTS) for _ in range(r.choice([1, 3, 60, 200]))) for _ in range(n)]
+
+
+def test_token_bytes_equal_tokenizer():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    t.encode_special_tokens = True
+    for x in texts(1):
+        assert packing.token_bytes(x or "", tokenizer_path()) == np.array(t.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_packing_is_whole_and_gapless(docs_of):
+    rows = list(enumerate(texts(2, 150))) + [(3, "x"), (3, "x"), (None, "y")]
+    got = packing.pack_documents(docs_of(rows), tokenizer_path(), 64).collect()
+    want = Counter()
+    for d, t in rows:
+        ids = packing.token_bytes(t or "", tokenizer_path()) + bytes(4)
+        n, begin, k = len(ids) // 4, 0, 0
+        while begin < n:
+            end = begin + ((n - begin) % 64 or 64)
+            want[d, k, begin, end - begin, zlib.crc32(ids[4 * begin : 4 * end])] += 1
+            begin, k = end, k + 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in by.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))] and sum(n for _, n in parts) <= 64
+    assert len(by) <= -(-sum(r.length for r in got) // 64) + 2
+    assert packing.pack_documents(docs_of([]), tokenizer_path()).collect() == []
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_local_search_keeps_items_and_never_adds_bins(seed):
+    r = random.Random(seed)
+    counts = Counter(r.choice([7, 9, 11, 23, 34, 35, 48, 51, 60]) for _ in range(r.randrange(1, 200)))
+    first = packing.best_fit(counts, 100)
+    better = packing.local_search(first, 100)
+    items = lambda b: Counter(x for k, v in b.items() for x in k * v)
+    assert items(first) == items(better) == counts and all(0 < sum(k) <= 100 for k in better)
+    squares = lambda b: sum(v * sum(k) ** 2 for k, v in b.items())
+    assert sum(better.values()) <= sum(first.values()) and squares(better) >= squares(first)
+
+
+def test_quality_counts(docs_of):
+    rows = list(enumerate(texts(3)))
+    got = {r.doc_id: r for r in quality_rules.judged(docs_of(rows)).collect()}
+    for d, t in rows:
+        t = t or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        tri = Counter(zip(w, w[1:], w[2:]))
+        hit = {j for i in range(len(w) - 2) if tri[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+        g = got[d]
+        assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall("[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit)), d
+        assert g.base_failed == (len(w) < 50 or 100 * len(hit) > 50 * len(w)) and not (g.base_failed and g.kept)
+    assert quality_rules.judged(docs_of([])).collect() == []
+
+
+def plain_spans(t):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = [int(c) for c in m[0] if c.isdigit()][::-1]
+        if 16 <= len(d) <= 19 and sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(d)) % 10 == 0:
+            out.append(("card", *m.span()))
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= sum(c.isdigit() for c in m[0]) <= 15]
+
+
+def test_pii_base_spans_equal_plain_expressions(docs_of):
+    r = random.Random(5)
+    bits = ["a@b.c", "a@b", "@", "x.y+z@q-r.co.uk.", "1.2.3.4", "1.2.3.4.5.6.7.8", "256.1.1.1", "0001.2.3.4", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (706) 555-3138", "+44..", "+1", "é", " ", ".", "GB82 WEST 1234 5698 7654 32", "12 ", "9" * 30]
+    rows = [(i, "".join(r.choice(bits) for _ in range(r.randrange(0, 12)))) for i in range(300)] + [(300, None), (301, "a" * 50000 + "1" * 50000)]
+    for g in pii.report(docs_of(rows)).collect():
+        t = dict(rows)[g.doc_id] or ""
+        base = plain_spans(t) if len(t) < 1000 else []
+        assert (g.n_email, g.n_ip, g.n_card, g.n_phone) == tuple(sum(x[0] == k for x in base) for k in pii.BASE), t
+        digest = ["%s:%d:%d" % x for x in base]
+        assert g.base_sha256 == hashlib.sha256(",".join(digest).encode()).hexdigest()
+        assert not set(digest) - set(g.spans.split(","))
+    assert "iban" in pii.report(docs_of([(1, "IBAN: GB82WEST12345698765432 ok")])).first().spans
+    out = pii.masked_documents(docs_of([(1, "write a@b.co or +1 (706) 555-3138 é"), (2, None)]))
+    got = {x.doc_id: x for x in out.collect()}
+    assert got[1].text == "write [EMAIL] or [PHONE] é" and got[1].n_chars == len(got[1].text) and got[2].text is None
+
+
+def test_deobfuscation_and_toxicity(docs_of, spark):
+    r = random.Random(7)
+    clean = ["thing", "other", "water", "and", "the", "mountain", "loser", "stupid", "idiot"]
+    rows, labels = [], []
+    for i in range(400):
+        w = [r.choice(clean[:6]) for _ in range(30)]
+        if i % 4 == 0:
+            w[r.randrange(30)] = r.choice(clean[6:])
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 4 == 0)))
+    rows += [(1000, "the l0s3r and water"), (1001, "the s t u p i d thing"), (1002, "an 1d10t and the"), (1003, "the idiooooot other"), (1004, "the 12 waters and 34 things"), (1005, ""), (1006, None)]
+    docs = docs_of(rows)
+    model = toxicity.train(docs, spark.createDataFrame([*labels, (None, 1), (3, None)], "doc_id long, toxic int"))
+    restorer = toxicity.Restorer(model["counts"])
+    assert [restorer.text(t) for _, t in rows[400:404]] == ["the loser and water", "the stupid thing", "an idiot and the", "the idiot other"]
+    got = {x.doc_id: x.s for x in toxicity.with_score(docs.select("doc_id", "text"), model, "s").collect()}
+    assert all((got[i] >= toxicity.THRESHOLD) == bool(y) for i, y in labels)
+    assert all(got[i] > 0.3 for i in range(1000, 1004)) and all(got[i] < 0.3 for i in (1004, 1005, 1006))
+    kept = toxicity.accepted(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert kept.columns == docs.columns and kept.count() == 303
+
+
+def test_viterbi_finds_the_best_path():
+    d = toxicity.Decoder(np.random.default_rng(1).integers(0, 50, sum(toxicity.SLOTS)).astype(float))
+
+    def best(token):
+        def walk(i, a, b):
+            if i == len(token):
+                return d.cost(a, b, " "), ""
+            run = 1
+            while i - run >= 0 and token[i - run] == token[i]:
+                run += 1
+            options = [(token[i], 0.0)] + [(z, toxicity.SIGN) for z in toxicity.LOOKALIKES.get(token[i], "")] + ([("", toxicity.REPEAT if run == 2 else toxicity.MORE)] if run > 1 else [])
+            out = []
+            for z, price in options:
+                c, rest = walk(i + 1, *((b, z) if z else (a, b)))
+                out.append((c + price + (d.cost(a, b, z) if z else 0), z + rest))
+            return min(out)
+
+        return walk(0, " ", " ")[1]
+
+    for token in ("1d10t", "l0ss3r", "aaa1", "$$33"):
+        assert d.decode(token) == best(token)
+
+
+def test_crf_marginals_equal_enumeration():
+    from itertools import product
+
+    r = np.random.default_rng(2)
+    s, t = r.normal(size=(1, 4)), r.normal(size=(2, 2))
+    weight = {y: np.exp(sum(s[0, i] * v for i, v in enumerate(y)) + sum(t[a, b] for a, b in zip(y, y[1:]))) for y in product((0, 1), repeat=4)}
+    z = sum(weight.values())
+    m, pair, logz = crf_quality.forward_backward(s, np.array([4]), t)
+    assert np.allclose(m[0], [sum(v for y, v in weight.items() if y[i]) / z for i in range(4)]) and np.isclose(logz, np.log(z))
+    assert np.isclose(pair[1, 0], sum(v / z * sum(a == 1 and b == 0 for a, b in zip(y, y[1:])) for y, v in weight.items()))
+
+
+def test_quality_field(docs_of, spark):
+    good, bad = "the water and the mountain of things is here.\nit was with the other.", "buy*** now%%% win$$$\nbuy*** buy*** buy***"
+    rows = [(i, (good if i % 2 else bad) + f" w{i}") for i in range(120)] + [(200, None), (201, "")]
+    model = crf_quality.train(docs_of(rows), spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int"))
+    got = {x.doc_id: x.score for x in crf_quality.with_score(docs_of(rows).select("doc_id", "text"), model).collect()}
+    assert all((got[i] >= 0.5) == bool(i % 2) for i in range(120)) and all(0 <= v <= 1 for v in got.values())
+
+
+def test_url_filter(spark):
+    r = random.Random(1)
+    urls = [f"https://good{r.randrange(99)}.example.net/en/{i}" for i in range(60)] + [f"http://bad.ads{r.randrange(99)}.net/x{i}" for i in range(60)]
+    urls += [None, "", "no scheme", "HTTP://A.ORG/fr/1?x", "http://b.org", "http://x.net", "http://ANET/", "http://good5.example.com/en/1", "http://bad.ads7.com/x9", "http://example.net/en/://z#q"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "'h' as host", "'r' as rule")
+    got = {x.page_id: x for x in url_filter.judge(pages).collect()}
+    for i, u in enumerate(urls):
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")
+        host, path = (m[1].lower(), m[2]) if m else ("", "")
+        fits = [(v, x) for v, x in url_filter.RULES if (host == x.split("/", 1)[0] or host.endswith("." + x.split("/", 1)[0])) and path.startswith("/" + x.split("/", 1)[1])]
+        best = max(fits, key=lambda x: len(x[1])) if fits else (None, None)
+        assert (got[i].host, got[i].path, got[i].rule) == (host, path, best[1])
+        assert got[i].verdict == (best[0] or got[i].verdict) and got[i].verdict in ("allow", "block")
+    n = len(urls)
+    assert got[n - 3].verdict == "allow" and got[n - 2].verdict == "block"
+    assert url_filter.judge(pages.limit(0)).collect() == []
+
+
+def test_mixing(docs_of):
+    r = random.Random(3)
+    rows = [(i, " ".join("w" * r.randrange(0, 40)), r.choice(["a", "a", "a", "b", "c", "é", None])) for i in range(3000)] + [(5000, None, "z"), (5001, "x y", "z"), (5001, "x y", "z")]
+    got = mixing.mix(docs_of(rows)).collect()
+    assert len(got) == len(rows) and sorted(map(str, got)) == sorted(map(str, mixing.mix(docs_of(rows)).collect()))
+    size = Counter()
+    for _, t, s in rows:
+        size[s] += len((t or "").split())
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    left, target, excess = set(names), dict.fromkeys(names, 0.0), 1.5 * sum(size.values())
+    while excess > 1e-9:
+        total = sum(weight[s] for s in left)
+        over = 0.0
+        for s in list(left):
+            target[s] += excess * weight[s] / total
+            if target[s] > 2 * size[s]:
+                over += target[s] - 2 * size[s]
+                target[s] = 2.0 * size[s]
+                left.discard(s)
+        excess = over
+    taken = Counter()
+    for g in got:
+        assert g.source_size == size[g.source] and abs(g.target - target[g.source]) < 1e-6 and 0 <= g.copies <= 2
+        taken[g.source] += g.copies * g["size"]
+    assert all(abs(taken[s] - target[s]) <= 100 for s in names)
+    mixed = mixing.mixed_documents(docs_of(rows))
+    assert mixed.columns == docs_of(rows).columns and abs(mixed.count() - sum(g.copies for g in got)) <= 2
+    assert mixing.mix(docs_of([])).collect() == []
+
+
+def test_sharding(docs_of):
+    r = random.Random(4)
+    rows = [(i, f"only {i}") for i in range(1500)] + [(i, f"text {r.randrange(60)}") for i in range(2000, 2600)] + [(i, "hot") for i in range(3000, 4000)] + [(5000, None), (5001, None), (5002, ""), (5002, "")]
+    got = sharding.shard(docs_of(rows)).collect()
+    text = dict(rows)
+    assert sorted(g.doc_id for g in got) == sorted(d for d, _ in rows)
+    by = {}
+    for g in got:
+        raw = (text[g.doc_id] or "").encode()
+        assert (g["size"], g.text_crc32) == (len(raw) + 1, zlib.crc32(raw))
+        by.setdefault(g.shard, []).append(g.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in by.values()) and set(by) == set(range(16))
+    assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    groups = {}
+    for g in got:
+        groups.setdefault(text[g.doc_id], set()).add(g.shard)
+    assert sum(len(s) - 1 for t, s in groups.items() if t and t.startswith("text")) <= 6
+    assert sharding.shard(docs_of([])).collect() == []
