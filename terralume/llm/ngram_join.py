@@ -20,7 +20,7 @@ from terralume.llm.common import components, materialize, mix, shingle_sets, sma
 #: Bits of the hash that pick a counter of n-gram frequency; so many counters are broadcast as bytes.
 COUNTER_BITS = 20
 #: Shingles that a task counts before it hands its counts on.
-FLUSH = 1 << 22
+FLUSH = 1 << 21
 #: Nodes whose prefix a task remembers, not to emit it again.
 SEEN = 1 << 20
 

@@ -26,7 +26,7 @@ KEPT = 4096
 SLOTS = (1 << 12, 1 << 16, 1 << 18)
 THRESHOLD = 0.3
 #: Distinct words that a task holds; readings that a worker keeps.
-FLUSH, CACHE = 500_000, 400_000
+FLUSH, CACHE = 100_000, 200_000
 
 #: Letters that a sign may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
