@@ -139,7 +139,7 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     """doc_id, n_shingles, component_id of every document; Jaccard of at least percent / 100 links two.
 
     Null, empty and blank texts have no shingles and link with nothing, their own component. Rows with a
-    null doc_id take part by their text; a component of such rows alone is null. Repeated ids are rows
+    null doc_id are linked with equal texts only; a component of such rows alone is null. Repeated ids are rows
     like any other, other columns don't matter, and no documents give no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
