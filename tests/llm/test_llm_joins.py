@@ -117,6 +117,19 @@ def test_fingerprints(docs_of):
     assert len(alone) == 1 and alone[0].near_next == 1.0
 
 
+@pytest.mark.parametrize("shared", [0, 50_000])
+def test_likeness_of_long_texts_is_near_jaccard(shared):
+    r = random.Random(6)
+    same = [f"s{r.randrange(10**9)}" for _ in range(shared)]
+    texts = [" ".join(same + [f"{c}{r.randrange(10**9)}" for _ in range(100_000 - shared)]) for c in "ab"]
+    sets = list(common.shingle_sets(texts, 5))
+    true = len(np.intersect1d(*sets)) / len(np.union1d(*sets))
+    x, y = map(minhash.signature, sets)
+    assert abs(minhash.likeness(x, y) - true) < (0.15 if shared else 0.02)
+    a, b = minhash.fingerprint(x), minhash.fingerprint(y)
+    assert len(a) == 4 * minhash.PERMUTATIONS and np.mean([a[i : i + 4] == b[i : i + 4] for i in range(0, len(a), 4)]) == minhash.likeness(x, y)
+
+
 def test_near_duplicates_equal_brute_force(docs_of):
     rows = [(i, t) for i, t in corpus(5) if len((t or "").split()) != 1]
     got = sorted(tuple(r) for r in minhash.near_duplicates(docs_of(rows)).collect())
