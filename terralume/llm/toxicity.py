@@ -18,11 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terralume.llm.common import materialize
+
 #: Labelled documents that train the classifier, about (chosen by hash from all labelled rows).
 TRAIN_ROWS = 20_000
 #: Features kept by the classifier.
 KEPT = 4096
-#: Counters of the language model by order.
+#: Sizes by order of an array of counters that may stand in for exact counts, n-grams being hashed into it.
 SLOTS = (1 << 12, 1 << 16, 1 << 18)
 THRESHOLD = 0.3
 #: Distinct words that a task holds; readings that a worker keeps.
@@ -42,63 +44,73 @@ _TRIPLE = re.compile(r"(.)\1\1")
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def _slots(c: np.ndarray) -> list[np.ndarray]:
-    """Counters of the last one, two and three characters at each place from the third on."""
-    a, b, z = (c[i : len(c) - 2 + i].astype(np.uint64) for i in range(3))
-    out, at = [], 0
-    for key, n in zip((z, b * np.uint64(0x110000) + z, (a * np.uint64(0x110000) + b) * np.uint64(0x110000) + z), SLOTS):
-        out.append(((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - n.bit_length() + 1)).astype(np.int64) + at)
-        at += n
-    return out
+def _key(gram: str) -> int:
+    """A number below 2^63 for one to three characters, different for all."""
+    k = 0
+    for c in gram:
+        k = k * 0x110000 + ord(c)
+    return 4 * k + len(gram)
+
+
+def _grams(c: np.ndarray) -> list[np.ndarray]:
+    """Keys of the last one, two and three characters at each place from the third on."""
+    a, b, z = (c[i : len(c) - 2 + i].astype(np.int64) for i in range(3))
+    two = b * 0x110000 + z
+    return [4 * z + 1, 4 * two + 2, 4 * (a * 0x110000**2 + two) + 3]
 
 
 def _count(batches):
     words: Counter = Counter()
 
     def out():
-        text = "  " + "  ".join(words) + " "
+        text = "  " + "".join(f"{w}  " for w in words)
         c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        weight = np.repeat(np.array([0, *words.values()], np.int64), np.array([2, *(len(w) + 2 for w in words)])) if words else np.zeros(3, np.int64)
-        weight = np.concatenate([weight, np.zeros(3, np.int64)])[: len(c)]
-        total = np.zeros(sum(SLOTS), np.int64)
-        for s in _slots(c) if len(c) > 2 else []:
-            total += np.bincount(s, weight[2:], len(total)).astype(np.int64)
-        at = np.flatnonzero(total)
-        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["slot", "times"])
+        weight = np.repeat(np.array([0, *words.values()], np.int64), np.array([2, *(len(w) + 2 for w in words)]))
+        for k in _grams(c) if words else []:
+            keys, of = np.unique(k, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(of, weight[2:], len(keys)).astype(np.int64))], names=["gram", "times"])
 
     for b in batches:
         for t in b.column(0).to_pylist():
             if t:
                 words.update(t.lower().split())
         if len(words) > FLUSH:
-            yield out()
+            yield from out()
             words.clear()
-    yield out()
+    yield from out()
 
 
-def language_model(docs: DataFrame) -> np.ndarray:
-    """Counts of character n-grams of all words of all documents, sum(SLOTS) numbers."""
-    rows = docs.select("text").mapInArrow(_count, "slot int, times long").groupBy("slot").agg(F.sum("times").alias("times")).toArrow()  # sum(SLOTS) rows at most
-    out = np.zeros(sum(SLOTS), np.float64)
-    out[rows["slot"].to_numpy()] = rows["times"].to_numpy()
-    return out
+def language_model(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and exact counts of the n-grams of all words of all documents, 16 bytes for each distinct one."""
+    rows = docs.select("text").mapInArrow(_count, "gram long, times long").groupBy("gram").agg(F.sum("times").alias("times"))
+    rows = materialize(rows).toArrow().sort_by("gram")
+    return rows["gram"].to_numpy(), rows["times"].to_numpy()
 
 
 class Decoder:
     """Viterbi decoding of a token's character lattice."""
 
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts
-        self.total = max(1.0, float(counts[: SLOTS[0]].sum()))
+    def __init__(self, counts):
+        """counts: what language_model gives, or an array of sum(SLOTS) counters."""
+        self.keys, self.counts = counts if isinstance(counts, tuple) else (None, counts)
+        singles = counts[: SLOTS[0]] if self.keys is None else self.counts[self.keys % 4 == 1]
+        self.total = max(1.0, float(singles.sum()))
         self.known: dict[tuple[str, str, str], float] = {}
 
+    def times(self, gram: str) -> float:
+        key = _key(gram)
+        if self.keys is None:
+            at = sum(SLOTS[: len(gram) - 1]) + (key * 0x9E3779B97F4A7C15 % (1 << 64) >> 32) % SLOTS[len(gram) - 1]
+            return float(self.counts[at])
+        at = self.keys.searchsorted(key)
+        return float(self.counts[at]) if at < len(self.keys) and self.keys[at] == key else 0.0
+
     def cost(self, a: str, b: str, z: str) -> float:
         """-log P(z | a, b)."""
         got = self.known.get((a, b, z))
         if got is None:
-            one, two, three = (float(self.counts[s[0]]) for s in _slots(np.array(list(map(ord, a + b + z)), np.uint32)))
-            _, context, _ = (float(self.counts[s[0]]) for s in _slots(np.array(list(map(ord, " " + a + b)), np.uint32)))
-            single = float(self.counts[_slots(np.array(list(map(ord, "  " + b)), np.uint32))[0][0]])
+            one, two, three = self.times(z), self.times(b + z), self.times(a + b + z)
+            single, context = self.times(b), self.times(a + b)
             p = (one + 0.1) / (self.total + 100)
             p = (two + 5 * p) / (max(single, two) + 5)
             p = (three + 5 * p) / (max(context, three) + 5)
@@ -140,7 +152,7 @@ class Decoder:
 class Restorer:
     """Restored words of a text, and their features; readings are kept by token."""
 
-    def __init__(self, counts: np.ndarray):
+    def __init__(self, counts):
         self.decoder = Decoder(counts)
 
     def token(self, token: str) -> list[str]:
@@ -195,7 +207,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, column: str, rows: int) ->
     return x.groupBy(F.xxhash64("text")).agg(F.first("text").alias("text"), F.max("label").alias("label")).select("text", "label")
 
 
-def _features(batches, counts: np.ndarray):
+def _features(batches, counts):
     r = Restorer(counts)
     for b in batches:
         rows = []
@@ -224,7 +236,7 @@ def _regress(rows: list[np.ndarray], y: np.ndarray, n: int, penalty: float = 0.5
 
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", rows: int = TRAIN_ROWS) -> dict:
-    """The model: language model counts, kept features and their weights. Bounded in size whatever the corpus."""
+    """The model: language model counts, which grow with the corpus's distinct n-grams, and at most KEPT features and their weights."""
     counts = language_model(docs)
     held = docs.sparkSession.sparkContext.broadcast(counts)
     x = training_rows(docs, labels, column, rows).mapInArrow(lambda it: _features(it, held.value), "features array<string>, label int").persist()

@@ -1,8 +1,8 @@
 """URL filters: host and path rules, and a character language-model ratio for the rest. DataFrame functions only.
 
 URLs that a rule accepts or rejects train two variable-order Markov models (contexts of 0 to ORDER
-characters, each order smoothed by the next shorter one). Counts live in TABLE hashed counters a class, so
-that the model is of fixed size and goes into the plan as a literal. The score is the difference of
+characters, each order smoothed by the next shorter one). The counts are exact and live in a written table
+that grows with the corpus; the grams of the URLs are joined to it. The score is the difference of
 log-likelihoods a character; a normal model of it over the training URLs calibrates it to a probability.
 """
 
@@ -11,12 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terralume.llm.common import materialize
+from terralume.llm.common import materialize, small
 
 #: Fixed values: (verdict, rule).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 ORDER = 4
-TABLE = 1 << 14
 #: Weight of the shorter context's estimate, in characters seen.
 SMOOTHING = 2.0
 _PAD = "\x01" * ORDER
@@ -57,45 +56,54 @@ def windows(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(grams)
 
 
-def train(urls: DataFrame) -> dict:
-    """Counts of both classes and the calibration, from rows (text, label: 1 accepted, 0 rejected)."""
-    grams = urls.select("label", F.explode(windows(F.col("text"))).alias("w")).groupBy("w").agg(F.count_if(F.col("label") == 1).alias("yes"), F.count_if(F.col("label") == 0).alias("no"))
-    parts = [F.pmod(F.xxhash64(F.lit(k), F.substring("w", ORDER + 1 - k, k + 1)), F.lit(TABLE)) for k in range(ORDER + 1)]
-    counts = grams.select("yes", "no", F.explode(F.array(*parts)).alias("at")).groupBy("at").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).collect()  # TABLE rows at most
-    model = {c: [0] * TABLE for c in ("yes", "no")} | {"total_yes": 0, "total_no": 0, "slope": 1.0, "cut": 0.0}
-    for r in counts:
-        model["yes"][r["at"]], model["no"][r["at"]] = r["yes"], r["no"]
-    total = grams.agg(F.sum("yes"), F.sum("no")).first()
-    model["total_yes"], model["total_no"] = total[0] or 0, total[1] or 0
-    scored = urls.select("label", score(F.col("text"), model).alias("s"))
-    by = {r[0]: r for r in scored.groupBy("label").agg(F.avg("s"), F.coalesce(F.var_pop("s"), F.lit(0.0)), F.count(F.lit(1))).collect()}
-    if 0 in by and 1 in by and by[1][1] > by[0][1]:
-        spread = (by[0][2] * by[0][3] + by[1][2] * by[1][3]) / (by[0][3] + by[1][3]) + 1e-6
-        model["slope"], model["cut"] = (by[1][1] - by[0][1]) / spread, (by[1][1] + by[0][1]) / 2
-    return model
+def counted(urls: DataFrame) -> DataFrame:
+    """How often each character follows each context of 0 to ORDER characters: gram (context and character), yes, no.
+
+    From rows (text, label: 1 accepted, 0 rejected); a gram's length tells its order.
+    """
+    whole = urls.select("label", F.explode(windows(F.col("text"))).alias("w")).groupBy("w").agg(F.count_if(F.col("label") == 1).alias("yes"), F.count_if(F.col("label") == 0).alias("no"))
+    parts = F.array(*(F.substring("w", ORDER + 1 - k, k + 1) for k in range(ORDER + 1)))
+    return materialize(whole.select("yes", "no", F.explode(parts).alias("gram")).groupBy("gram").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")))
 
 
-def score(text: Column, model: dict) -> Column:
-    """Length-normalised log-likelihood difference, accepted less rejected; 0 for an empty text or without training."""
-    if not model["total_yes"] or not model["total_no"]:
-        return F.lit(0.0)
+def ratios(asked: DataFrame, counts: DataFrame) -> DataFrame:
+    """w and ratio (log-likelihood if accepted less that if rejected) of distinct windows w.
 
-    def likelihood(w: Column, counts: Column, total: int) -> Column:
-        at = lambda gram, k: F.element_at(counts, (F.pmod(F.xxhash64(F.lit(k), gram), F.lit(TABLE)) + 1).cast("int"))
-        p = F.lit(1 / 64)
-        for k in range(ORDER + 1):
-            seen = at(F.substring(w, ORDER + 1 - k, k + 1), k)
-            context = at(F.substring(w, ORDER + 1 - k, k), k - 1) if k else F.lit(float(total))
-            p = (seen + SMOOTHING * p) / (F.greatest(context, seen) + SMOOTHING)
-        return F.ln(p)
+    Each order's grams are joined to their counts, their contexts' and their estimate by the next shorter
+    order; as grams are distinct, no key has more rows than there are characters.
+    """
+    p = None
+    for k in range(ORDER + 1):
+        here = counts.filter(F.char_length("gram") == k + 1)
+        contexts = here.groupBy(F.substring("gram", 1, k).alias("context")).agg(F.sum("yes").alias("all_yes"), F.sum("no").alias("all_no"))
+        x = asked.select(F.substring("w", ORDER + 1 - k, k + 1).alias("gram")).distinct().withColumn("context", F.substring("gram", 1, k))
+        x = x.join(here, "gram", "left").join(contexts, "context", "left")
+        x = x.withColumn("shorter", F.substring("gram", 2, k)).join(p, "shorter") if k else x.withColumns({"p_yes": F.lit(1 / 64), "p_no": F.lit(1 / 64)})
+        likely = lambda c: (F.coalesce(F.col(c), F.lit(0)) + SMOOTHING * F.col(f"p_{c}")) / (F.coalesce(F.col(f"all_{c}"), F.lit(0)) + SMOOTHING)
+        x = x.select("gram", likely("yes").alias("p_yes"), likely("no").alias("p_no"))
+        p = x.withColumnRenamed("gram", "shorter")
+    return materialize(x.select(F.col("gram").alias("w"), (F.ln("p_yes") - F.ln("p_no")).alias("ratio")))
+
+
+def scores(texts: DataFrame, counts: DataFrame) -> DataFrame:
+    """k1, k2, s of distinct texts (k1, k2, text): the mean ratio of their windows; empty texts have no row.
+
+    Ratios are added as whole numbers, so that their order doesn't matter.
+    """
+    grams = texts.select("k1", "k2", F.explode(windows(F.col("text"))).alias("w"))
+    found = ratios(materialize(grams.select("w").distinct()), counts)
+    fixed = F.round(F.col("ratio") * (1 << 36)).cast("long")
+    return materialize(grams.join(small(found, 32), "w").groupBy("k1", "k2").agg((F.sum(fixed) / F.lit(float(1 << 36)) / F.count(F.lit(1))).alias("s")))
 
-    def mean(m: Column) -> Column:
-        ratios = F.transform(windows(text), lambda w: likelihood(w, m["yes"], model["total_yes"]) - likelihood(w, m["no"], model["total_no"]))
-        return F.coalesce(F.aggregate(ratios, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.char_length(text), F.lit(1)), F.lit(0.0))
 
-    counts = {c: F.split(F.lit(",".join(map(str, model[c]))), ",").cast("array<double>") for c in ("yes", "no")}
-    one = F.array(F.struct(*(v.alias(c) for c, v in counts.items())))  # a literal after folding, in the plan once
-    return F.element_at(F.transform(one, mean), 1)
+def calibrate(scored: DataFrame) -> dict:
+    """The slope and cut of the probability, from rows (s, label) of the training URLs."""
+    model = {"slope": 1.0, "cut": 0.0}
+    by = {r[0]: r for r in scored.groupBy("label").agg(F.avg("s"), F.coalesce(F.var_pop("s"), F.lit(0.0)), F.count(F.lit(1))).collect()}
+    if 0 in by and 1 in by and by[1][1] > by[0][1]:
+        spread = (by[0][2] * by[0][3] + by[1][2] * by[1][3]) / (by[0][3] + by[1][3]) + 1e-6
+        model["slope"], model["cut"] = (by[1][1] - by[0][1]) / spread, (by[1][1] + by[0][1]) / 2
+    return model
 
 
 def probability(score_: Column, model: dict) -> Column:
@@ -110,10 +118,17 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     nothing, at its cut (allow). Repeated rows stay; other columns don't matter; no pages give no rows.
     """
     urls = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    urls = materialize(urls.withColumn("rule", matched_rule(F.col("host"), F.col("path"), rules)).withColumn("text", F.concat("host", "path")))
-    known = urls.filter("rule is not null").select("text", (rule_verdict(F.col("rule"), rules) == "allow").cast("int").alias("label"))
-    model = train(known)
-    p = probability(F.when(F.col("text") == "", F.lit(model["cut"])).otherwise(score(F.col("text"), model)), model)
+    urls = materialize(urls.withColumn("rule", matched_rule(F.col("host"), F.col("path"), rules)).withColumn("text", F.concat("host", "path")).withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(7), "text")}))
+    known = urls.filter("rule is not null").select("k1", "k2", "text", (rule_verdict(F.col("rule"), rules) == "allow").cast("int").alias("label"))
+    if known.select("label").distinct().count() == 2:
+        texts = materialize(urls.filter("text <> ''").select("k1", "k2", "text").dropDuplicates(["k1", "k2"]))
+        scored = small(scores(texts, counted(known)), 40)
+        model = calibrate(known.join(scored, ["k1", "k2"]))
+        urls = urls.join(scored, ["k1", "k2"], "left")
+    else:  # without training: 0
+        model = {"slope": 1.0, "cut": 0.0}
+        urls = urls.withColumn("s", F.lit(0.0))
+    p = probability(F.coalesce(F.col("s"), F.lit(model["cut"])), model)
     out = urls.withColumn("p_allow", p)
     verdict = F.coalesce(rule_verdict(F.col("rule"), rules), F.when(F.col("p_allow") >= 0.5, "allow").otherwise("block"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "p_allow")

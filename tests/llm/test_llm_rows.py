@@ -188,6 +188,57 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.limit(0)).collect() == []
 
 
+def test_url_probabilities_equal_exact_counts(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyzé日_-") for _ in range(r.randrange(3, 12)))
+    urls = [f"http://{word()}.{x}{word()}/{word()}" for x in ("example.net/en/", "net/", "info/") for _ in range(400)]
+    rows = urls + urls[:3] + ["http://", None]
+    got = {x.page_id: x for x in url_filter.judge(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")).collect()}
+    known = [(got[i].host + got[i].path, got[i].verdict == "allow") for i in got if got[i].rule]
+    fold = lambda t: "\x01" * 4 + re.sub("[0-9]", "0", t)
+    seen, after = Counter(), Counter()
+    for t, y in known:
+        for i in range(len(t)):
+            for k in range(5):
+                w = fold(t)[i + 4 - k : i + 5]
+                seen[y, w] += 1
+                after[y, k, w[:-1]] += 1
+
+    def score(t):
+        out = 0.0
+        for i in range(len(t)):
+            for y in (True, False):
+                p = 1 / 64
+                for k in range(5):
+                    w = fold(t)[i + 4 - k : i + 5]
+                    p = (seen[y, w] + 2 * p) / (after[y, k, w[:-1]] + 2)
+                out += np.log(p) * (1 if y else -1)
+        return out / len(t)
+
+    yes, no = ([score(t) for t, y in known if y == v] for v in (True, False))
+    spread = (np.var(yes) * len(yes) + np.var(no) * len(no)) / len(known) + 1e-6
+    slope, cut = (np.mean(yes) - np.mean(no)) / spread, (np.mean(yes) + np.mean(no)) / 2
+    for g in got.values():
+        t = g.host + g.path
+        assert abs(g.p_allow - (1 / (1 + np.exp(-(score(t) - cut) * slope)) if t else 0.5)) < 1e-6
+
+
+def test_language_model_counts_are_exact(docs_of):
+    r = random.Random(9)
+    letters = [chr(c) for a, b in ((97, 123), (0x430, 0x450), (0x5D0, 0x5EB), (0x4E00, 0x5200), (0x1F600, 0x1F640)) for c in range(a, b)]
+    words = ["".join(r.choices(letters, k=r.randrange(1, 9))) for _ in range(6000)]
+    d = toxicity.Decoder(toxicity.language_model(docs_of([(i, " ".join(words[i::3])) for i in range(3)])))
+    n = Counter(g for w in words for t in ["  " + w + "  "] for i in range(2, len(t)) for g in (t[i], t[i - 1 : i + 1], t[i - 2 : i + 1]))
+    total = sum(v for g, v in n.items() if len(g) == 1)
+    for w in words[:300]:
+        for i in range(len(w)):
+            a, b, z = ("  " + w)[i : i + 3]
+            p = (n[z] + 0.1) / (total + 100)
+            p = (n[b + z] + 5 * p) / (max(n[b], n[b + z]) + 5)
+            p = (n[a + b + z] + 5 * p) / (max(n[a + b], n[a + b + z]) + 5)
+            assert abs(d.cost(a, b, z) + np.log(p)) < 1e-9
+
+
 def test_mixing(docs_of):
     r = random.Random(3)
     rows = [(i, " ".join("w" * r.randrange(0, 40)), r.choice(["a", "a", "a", "b", "c", "é", None])) for i in range(3000)] + [(5000, None, "z"), (5001, "x y", "z"), (5001, "x y", "z")]
