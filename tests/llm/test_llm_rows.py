@@ -288,3 +288,27 @@ def test_sharding(docs_of):
         groups.setdefault(text[g.doc_id], set()).add(g.shard)
     assert sum(len(s) - 1 for t, s in groups.items() if t and t.startswith("text")) <= 6
     assert sharding.shard(docs_of([])).collect() == []
+
+
+def test_sharding_cuts_large_groups_no_more_than_it_must(docs_of):
+    sizes = {"a": 70, "b": 70, "c": 65, "d": 100, "e": 250, "f": 51} | {f"g{i}": 45 for i in range(12)}
+    rows = [(i, t) for i, t in enumerate(t for t, n in sizes.items() for _ in range(n))]
+    rows += [(i, f"only {i}") for i in range(len(rows), 1600)]
+    got = sharding.shard(docs_of(rows)).collect()
+    assert Counter(g.shard for g in got) == dict.fromkeys(range(16), 100) and len({(g.shard, g.slot) for g in got}) == 1600
+    shards = {}
+    for g in got:
+        shards.setdefault(dict(rows)[g.doc_id], set()).add(g.shard)
+    assert {t: len(shards[t]) for t in "abcdef"} == {"a": 1, "b": 1, "c": 1, "d": 1, "e": 3, "f": 1}
+    assert all(len(shards[f"g{i}"]) == 1 for i in range(12))
+
+
+def test_heavy_groups_fill_whole_shards_first():
+    full = [11] * 3 + [10] * 13
+    for sizes in ([7, 8, 9], [35, 11, 10, 6], [6] * 20, [163], [10] * 16, [11, 11, 11, 25]):
+        got = sharding._lay(sizes, full)
+        assert sorted((i, k) for i, a, b, _, _ in got for k in range(a, b)) == [(i, k) for i, n in enumerate(sizes) for k in range(n)]
+        used = [(s, at + k) for _, a, b, s, at in got for k in range(b - a)]
+        assert len(set(used)) == len(used) and all(k < full[s] for s, k in used)
+        cut = Counter(x[0] for x in got)
+        assert sum(cut[i] == 1 for i, n in enumerate(sizes) if n <= 11) >= min(16, sum(n <= 11 for n in sizes))
