@@ -38,9 +38,13 @@ SIGN, REPEAT, MORE, SPACED = 1.5, 3.0, 0.3, 0.2
 _EDGE = ".,;:?\"'()[]{}<>«»…"
 _TAIL = "!*#%&-_|=~^" + _EDGE
 _HEAD = _TAIL.replace("!", "")
-_SPACED = re.compile(r"(?<!\S)(?:\w[ ._*-]{1,2}){2,}\w(?![\w])")
-_TOUCHED = re.compile(r"(.)\1\1|[013456789@$!|+(€£¡*._ -]")
-_TRIPLE = re.compile(r"(.)\1\1")
+_SIGNS = "".join(c for c in LOOKALIKES if not c.isalnum())
+_ONE = rf"(?:[^\W_]|[{re.escape(_SIGNS)}])"
+#: One letter or sign at a time, from the start or after anything but a letter (and an apostrophe after one).
+_SPACED = re.compile(rf"(?<![^\W_])(?<![^\W_]['’])(?:{_ONE}[ ._*-]{{1,2}}){{2,}}{_ONE}(?![^\W_])")
+_SPACED_HEAD = " " + "".join(c for c in _HEAD if c not in LOOKALIKES)
+_TOUCHED = re.compile(r"(.)\1|[013456789@$!|+(€£¡*._ -]")
+_DOUBLE = re.compile(r"(.)\1")
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -123,7 +127,7 @@ class Decoder:
         """The likeliest letters; states are the last two characters, so that the work is linear in the token."""
         states: dict[tuple[str, str], tuple[float, tuple | None]] = {(" ", " "): (0.0, None)}
         spaced = bool(_SPACED.fullmatch(token))
-        run = 0
+        run, known = 0, self.known
         for i, c in enumerate(token):
             run = run + 1 if i and token[i - 1] == c else 1
             options = [(c, 0.0)] + [(z, SIGN) for z in LOOKALIKES.get(c, "")]
@@ -135,7 +139,8 @@ class Decoder:
             for (a, b), (cost, back) in states.items():
                 for z, price in options:
                     if z:
-                        key, value, trail = (b, z), cost + price + self.cost(a, b, z), (back, z)
+                        step = known.get((a, b, z))
+                        key, value, trail = (b, z), cost + price + (self.cost(a, b, z) if step is None else step), (back, z)
                     else:
                         key, value, trail = (a, b), cost + price, back
                     if key not in new or value < new[key][0]:
@@ -157,11 +162,13 @@ class Restorer:
 
     def token(self, token: str) -> list[str]:
         """Restored words of a token in lower case: itself, or its best reading if the channel may have touched it."""
-        word = token.lstrip(_HEAD).rstrip(_TAIL)
+        word = token.lstrip(_SPACED_HEAD if " " in token else _HEAD).rstrip(_TAIL + " ")
         if word[-3:] == "$$$":
             word = word.rstrip("$").rstrip(_TAIL)
-        if word.isalpha() and not _TRIPLE.search(word):
+        if word.isalpha() and not _DOUBLE.search(word):
             return [word]
+        if " " in word and not _SPACED.fullmatch(word):
+            return [w for t in word.split() for w in self.token(t)]
         if _TOUCHED.search(word) and _LETTER.search(word):
             word = self.decoder.decode(word)
         return [w for w in re.split(r"[\W_]+", word) if w]

@@ -127,6 +127,24 @@ def test_deobfuscation_and_toxicity(docs_of, spark):
     assert kept.columns == docs.columns and kept.count() == 303
 
 
+def test_doubled_and_spaced_signs_are_decoded(docs_of):
+    words = ["thing", "other", "water", "letter", "the", "mountain", "loser", "stupid", "idiot", "an", "of", "and"]
+    r = random.Random(3)
+    restorer = toxicity.Restorer(toxicity.language_model(docs_of([(i, " ".join(r.choices(words, k=30))) for i in range(200)])))
+    for noisy, plain in {
+        "an idiiot and the water": "an idiot and the water",
+        "the looser": "the loser",
+        "the letter of other water": "the letter of other water",
+        "the s t u p ! d thing": "the stupid thing",
+        "the $ t u p i d thing": "the stupid thing",
+        'an "i d i o t" and (l o s e r), the': "an idiot and loser the",
+        "an i d i o t ! and": "an idiot and",
+        "the l-o-$-e-r": "the loser",
+    }.items():
+        assert restorer.text(noisy) == plain
+    restorer.text("_" * 200 + "ab" + "| " * 200 + "ab " + "a " * 300 + "ab")  # ends
+
+
 def test_viterbi_finds_the_best_path():
     d = toxicity.Decoder(np.random.default_rng(1).integers(0, 50, sum(toxicity.SLOTS)).astype(float))
 
