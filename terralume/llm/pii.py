@@ -23,7 +23,35 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?: ?[A-Z0-9]){11,30}))")
+_WORD = re.compile(r"[A-Za-z0-9]")
+#: Lengths of countries' IBANs.
+_COUNTRIES = {
+    15: "NO",
+    16: "BE",
+    18: "DK FI FO GL NL FK SD",
+    19: "MK SI",
+    20: "AT BA EE KZ LT LU XK MN",
+    21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL OM SO",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST",
+    26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA",
+    30: "JO KW MU YE",
+    31: "MT SC",
+    32: "LC",
+    33: "RU",
+}
+_LENGTHS = {c: n for n, cs in _COUNTRIES.items() for c in cs.split()}
+# Numbers in groups; only context words make them phone numbers.
+_NATIONAL = re.compile(r"(?<![A-Za-z0-9+])\(?[0-9]+(?:[ ./)-]{1,2}[0-9]+)*(?![A-Za-z0-9])")
+_GROUP = re.compile(r"[0-9]+")
+# Dates and four numbers with dots, which aren't phone numbers.
+_OTHER = re.compile(r"[0-9]{4}([./-])[0-9]{1,2}\1[0-9]{1,2}(?![0-9])|[0-9]{1,2}([./-])[0-9]{1,2}\2[0-9]{4}(?![0-9])|[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.])")
 _IPV6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
 _CARD_FORM = re.compile(r"(?<![0-9])(?:[0-9]{16}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[47][0-9]{2}([ -]?)[0-9]{6}\2[0-9]{5})(?![0-9])")
 _DIGIT = re.compile(r"[0-9]")
@@ -50,6 +78,43 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
+def _ibans(text: str):
+    """IBANs (start, end, confirmed) that end where a word does: of the country's length, else any whose mod 97 holds.
+
+    Of a known country that is the whole run only, of another one the longest part of it.
+    """
+    end = 0
+    for m in _IBAN.finditer(text):
+        a = m.start()
+        if a < end:
+            continue
+        ends = [b for b in range(m.end(1), m.end(), -1) if text[b - 1] != " " and not _WORD.match(text, b)]
+        ends = [(b, b - a - text.count(" ", a, b)) for b in ends]
+        known = _LENGTHS.get(m[0][:2])
+        own = [b for b, n in ends if n == known]
+        for b in own + [b for b, n in ends[: 1 if known else None] if n >= 15]:
+            if mod97(text[a:b].replace(" ", "")):
+                yield a, b, True
+                end = b
+                break
+        else:
+            if own:
+                yield a, own[0], False
+                end = own[0]
+
+
+def _national(text: str):
+    """Numbers of 7 to 15 digits in groups or with a leading 0 that may be phone numbers; longer ones end at a group."""
+    for m in _NATIONAL.finditer(text):
+        a, b, digits = m.start(), m.start(), 0
+        for g in _GROUP.finditer(text, a, m.end()):
+            if digits + len(g[0]) > 15:
+                break
+            b, digits = g.end(), digits + len(g[0])
+        if 7 <= digits and (digits < b - a or text[a] == "0" or digits == 10) and not _OTHER.match(text, a):
+            yield a, b
+
+
 def _emails(text: str):
     end = 0
     at = text.find("@")
@@ -94,20 +159,28 @@ def score(text: str, kind: str, begin: int, end: int, confirmed: bool) -> float:
 
 
 def spans(text: str) -> list[tuple[str, int, int, float]]:
-    """All spans by kind and start: the base ones, always, and those that the method adds."""
+    """All spans by kind and start: the base ones, always, and those that the method adds.
+
+    An added span stands if its score is ACCEPT or more: context words lift cards and IBANs whose checksum
+    fails and numbers without a country code over it. IBANs that mod 97 confirms and full IPv6 forms always stand.
+    """
     base = base_spans(text)
     out = [(k, a, b, score(text, k, a, b, True)) for k, a, b in base]
     if _DIGIT.search(text):
-        for m in _CARD_FORM.finditer(text):  # cards of usual form beside other digits, and shorter ones
-            if luhn(re.sub("[^0-9]", "", m[0])) and not any(x <= m.start() < y for k, x, y in base if k == "card"):
-                s = score(text, "card", *m.span(), True)
-                if s >= ACCEPT:
-                    out.append(("card", *m.span(), s))
-        for m in _IBAN.finditer(text):
-            if mod97(m[0].replace(" ", "")):
-                out.append(("iban", *m.span(), score(text, "iban", *m.span(), True)))
+        more = [("iban", *x) for x in _ibans(text)]
         if ":" in text:
-            out += [("ipv6", *m.span(), 0.9) for m in _IPV6.finditer(text)]
+            more += [("ipv6", *m.span(), True) for m in _IPV6.finditer(text)]
+        out += [(k, a, b, score(text, k, a, b, True)) for k, a, b, sure in more if sure]
+        # Cards of usual form beside other digits, and shorter ones.
+        more = [("card", *m.span(), luhn(re.sub("[^0-9]", "", m[0]))) for m in _CARD_FORM.finditer(text)] + [x for x in more if not x[3]]
+        if _FOR["phone"].search(text):
+            more += [("phone", a, b, False) for a, b in _national(text)]
+        for kind, a, b, sure in more:
+            if any(x < b and a < y for k, x, y, _ in out if k == kind or not sure):
+                continue
+            s = score(text, kind, a, b, sure)
+            if s >= ACCEPT:
+                out.append((kind, a, b, s))
     rank = {k: i for i, k in enumerate(KINDS)}
     return sorted(out, key=lambda x: (rank[x[0]], x[1]))
 

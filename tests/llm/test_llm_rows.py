@@ -105,6 +105,23 @@ def test_pii_base_spans_equal_plain_expressions(docs_of):
     assert got[1].text == "write [EMAIL] or [PHONE] é" and got[1].n_chars == len(got[1].text) and got[2].text is None
 
 
+def test_pii_ibans_beside_words_and_context():
+    found = lambda t: [(k, t[a:b]) for k, a, b, _ in pii.spans(t)]
+    de = "DE89 3704 0044 0532 0130 00"
+    for t in (f"{de} BIC COBADEFF", f"to {de} 12 EUR", f"AB12 {de} X", f"({de})", f"{de} Please", f"invoice 7: {de} BIC"):
+        assert found(t) == [("iban", de)]
+    assert pii.mask(f"pay {de} BIC COBADEFF") == "pay [IBAN] BIC COBADEFF"
+    assert found("Code DE89 3704 0044 0532 0130 01 BIC") == [] and found("my IBAN DE89 3704 0044 0532 0130 01 BIC") == [("iban", "DE89 3704 0044 0532 0130 01")]
+    assert found("phone: (706) 555-3138.") == [("phone", "(706) 555-3138")] and found("tel 0171 2345678") == [("phone", "0171 2345678")]
+    for t in ("about (706) 555-3138", "order call 0171 2345678", "a call on 2024-01-02", "call 12 times in 1999", "phone 10.0.0.256"):
+        assert found(t) == []
+    assert found("call +1 (706) 555-3138") == [("phone", "+1 (706) 555-3138")]
+    assert found("my card 4111 1111 1111 1112") == [("card", "4111 1111 1111 1112")] and found("4111 1111 1111 1112") == []
+    assert len(pii._LENGTHS) == 88 and (pii._LENGTHS["DE"], pii._LENGTHS["NO"], pii._LENGTHS["MT"], pii._LENGTHS["RU"]) == (22, 15, 31, 33)
+    assert found("at 2001:db8:0:0:0:0:0:1") == [("ipv6", "2001:db8:0:0:0:0:0:1")]
+    assert found("call " + "1 " * 20000) == [("phone", "1 1 1 1 1 1 1 1 1 1 1 1 1 1 1")]
+
+
 def test_deobfuscation_and_toxicity(docs_of, spark):
     r = random.Random(7)
     clean = ["thing", "other", "water", "and", "the", "mountain", "loser", "stupid", "idiot"]
