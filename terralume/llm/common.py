@@ -7,6 +7,8 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,11 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a fresh local one only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
+    """The folder of spark.checkpoint.dir; where that is unset, a temporary one in local mode and an error on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="terralume-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -86,7 +88,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) < n:
-        n = max(n, 1 << 20)
+        n = max(n, 1 << 17)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             steps = np.full(n, base, np.uint64)
             steps[0] = 1
@@ -109,7 +111,21 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return words, np.searchsorted(starts, firsts)
 
 
-def chunks(texts: list[str | None], chars: int = 1 << 21):
+def sliced(batches, column: int, size: int = 1 << 21):
+    """The batches in parts whose texts (or binaries) in the column have about so many bytes, a row at least; then freed memory is given back."""
+    for b in batches:
+        held = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin = 0
+        while begin < len(held):
+            end = max(begin + 1, int(np.searchsorted(held, (held[begin - 1] if begin else 0) + size, "right")))
+            yield b.slice(begin, end - begin)
+            begin = end
+        if not len(held):
+            yield b
+        pa.default_memory_pool().release_unused()
+
+
+def chunks(texts: list[str | None], chars: int = 1 << 19):
     """Slices of the list with about so many characters each, one text at least."""
     begin, held = 0, 0
     for i, t in enumerate(texts):

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terralume.llm.common import sliced
 from terralume.llm.quality_rules import STOP_WORDS
 from terralume.llm.toxicity import training_rows
 
@@ -173,15 +174,18 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", rows: int
 
 
 def with_score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
-    """The columns given, text among them, and a score from 0 to 1; a null text scores as an empty one."""
+    """The columns given, text among them, and a score from 0 to 1.
+
+    A null text scores as an empty one, very long ones are read whole, repeated rows stay, and no documents give no
+    rows. A column of the score's name is replaced.
+    """
+    docs = docs.drop(name)
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches):
-        for b in batches:
-            texts, scores = [t or "" for t in b.column(at).to_pylist()], []
-            for i in range(0, len(texts), 1024):
-                scores += score_texts(texts[i : i + 1024], held.value)
+        for b in sliced(batches, at):
+            scores = score_texts([t or "" for t in b.column(at).to_pylist()], held.value)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terralume.llm.common import sliced
+
 #: Base kinds in the order of digests, then the kinds that this operator adds.
 KINDS = ("email", "ip", "card", "phone", "iban", "ipv6")
 BASE = KINDS[:4]
@@ -201,7 +203,7 @@ def _digest(found) -> str:
 
 
 def _report(batches):
-    for b in batches:
+    for b in sliced(batches, 1):
         rows = []
         for text in b.column(1).to_pylist():
             found = spans(text or "")
@@ -225,7 +227,7 @@ def masked_documents(docs: DataFrame) -> DataFrame:
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, at):
             texts = [None if t is None else mask(t) for t in b.column(at).to_pylist()]
             cols = list(b.columns)
             cols[at] = pa.array(texts, pa.string())
