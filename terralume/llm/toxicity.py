@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terralume.llm.common import materialize
+from terralume.llm.common import materialize, sliced
 
 #: Labelled documents that train the classifier, about (chosen by hash from all labelled rows).
 TRAIN_ROWS = 20_000
@@ -28,7 +28,7 @@ KEPT = 4096
 SLOTS = (1 << 12, 1 << 16, 1 << 18)
 THRESHOLD = 0.3
 #: Distinct words that a task holds; readings that a worker keeps.
-FLUSH, CACHE = 100_000, 200_000
+FLUSH, CACHE = 50_000, 50_000
 
 #: Letters that a sign may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
@@ -42,6 +42,8 @@ _SIGNS = "".join(c for c in LOOKALIKES if not c.isalnum())
 _ONE = rf"(?:[^\W_]|[{re.escape(_SIGNS)}])"
 #: One letter or sign at a time, from the start or after anything but a letter (and an apostrophe after one).
 _SPACED = re.compile(rf"(?<![^\W_])(?<![^\W_]['’])(?:{_ONE}[ ._*-]{{1,2}}){{2,}}{_ONE}(?![^\W_])")
+#: What every such run holds; few other texts do.
+_MAYBE_SPACED = re.compile(r"[ ._*-]\S[ ._*-]{1,2}\S(?![^\W_])")
 _SPACED_HEAD = " " + "".join(c for c in _HEAD if c not in LOOKALIKES)
 _TOUCHED = re.compile(r"(.)\1|[013456789@$!|+(€£¡*._ -]")
 _DOUBLE = re.compile(r"(.)\1")
@@ -56,31 +58,34 @@ def _key(gram: str) -> int:
     return 4 * k + len(gram)
 
 
-def _grams(c: np.ndarray) -> list[np.ndarray]:
-    """Keys of the last one, two and three characters at each place from the third on."""
+def _grams(words: Counter):
+    """(keys, counts) of the last one, two and three characters at each place of the words, which are padded."""
+    text = "  " + "".join(f"{w}  " for w in words)
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    weight = np.repeat(np.array([0, *words.values()], np.int64), np.array([2, *(len(w) + 2 for w in words)]))[2:]
     a, b, z = (c[i : len(c) - 2 + i].astype(np.int64) for i in range(3))
-    two = b * 0x110000 + z
-    return [4 * z + 1, 4 * two + 2, 4 * (a * 0x110000**2 + two) + 3]
+    x, size = (a * 0x110000 + b) * 0x110000 + z, 0x110000**3
+    for k in (3, 2, 1):  # shorter ones from the longer ones' counts
+        x, of = np.unique(x % size if k < 3 else x, return_inverse=True)
+        weight = np.bincount(of, weight, len(x)).astype(np.int64)
+        yield 4 * x + k, weight
+        size = 0x110000 ** (k - 1)
 
 
 def _count(batches):
     words: Counter = Counter()
 
     def out():
-        text = "  " + "".join(f"{w}  " for w in words)
-        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        weight = np.repeat(np.array([0, *words.values()], np.int64), np.array([2, *(len(w) + 2 for w in words)]))
-        for k in _grams(c) if words else []:
-            keys, of = np.unique(k, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(of, weight[2:], len(keys)).astype(np.int64))], names=["gram", "times"])
-
-    for b in batches:
+        for keys, times in _grams(words) if words else ():
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(times)], names=["gram", "times"])
+        words.clear()
+
+    for b in sliced(batches, 0):
         for t in b.column(0).to_pylist():
             if t:
                 words.update(t.lower().split())
-        if len(words) > FLUSH:
-            yield from out()
-            words.clear()
+                if len(words) > FLUSH:
+                    yield from out()
     yield from out()
 
 
@@ -123,6 +128,16 @@ class Decoder:
                 self.known.clear()
         return got
 
+    def undouble(self, word: str, i: int) -> str:
+        """What decode gives for letters of which one alone, at i, repeats the last: its two readings differ in five steps."""
+        t, cost = "  " + word + " ", self.cost
+        i += 2
+        keep, drop = cost(t[i - 2], t[i - 1], t[i]) + cost(t[i - 1], t[i], t[i + 1]), REPEAT + cost(t[i - 2], t[i - 1], t[i + 1])
+        if i + 2 < len(t):
+            keep += cost(t[i], t[i + 1], t[i + 2])
+            drop += cost(t[i - 1], t[i + 1], t[i + 2])
+        return word[: i - 2] + word[i - 1 :] if drop < keep else word
+
     def decode(self, token: str) -> str:
         """The likeliest letters; states are the last two characters, so that the work is linear in the token."""
         states: dict[tuple[str, str], tuple[float, tuple | None]] = {(" ", " "): (0.0, None)}
@@ -154,6 +169,17 @@ class Decoder:
         return "".join(reversed(out))
 
 
+def _one_double(token: str) -> int:
+    """The place of the second letter of the only doubled letter of a word; -1 if there are more or longer runs."""
+    found = -1
+    for i in range(1, len(token)):
+        if token[i] == token[i - 1]:
+            if found >= 0:
+                return -1
+            found = i
+    return found
+
+
 class Restorer:
     """Restored words of a text, and their features; readings are kept by token."""
 
@@ -165,8 +191,11 @@ class Restorer:
         word = token.lstrip(_SPACED_HEAD if " " in token else _HEAD).rstrip(_TAIL + " ")
         if word[-3:] == "$$$":
             word = word.rstrip("$").rstrip(_TAIL)
-        if word.isalpha() and not _DOUBLE.search(word):
-            return [word]
+        if word.isalpha():
+            if not _DOUBLE.search(word):
+                return [word]
+            if (i := _one_double(word)) > 0:
+                return [self.decoder.undouble(word, i)]
         if " " in word and not _SPACED.fullmatch(word):
             return [w for t in word.split() for w in self.token(t)]
         if _TOUCHED.search(word) and _LETTER.search(word):
@@ -181,6 +210,8 @@ class Restorer:
     def tokens(text: str) -> list[str]:
         """Tokens of a text in lower case; letters that are spaced out make one token."""
         text = text.lower()
+        if not _MAYBE_SPACED.search(text):
+            return text.split()
         out, end = [], 0
         for m in _SPACED.finditer(text):
             out += text[end : m.start()].split()
@@ -216,7 +247,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, column: str, rows: int) ->
 
 def _features(batches, counts):
     r = Restorer(counts)
-    for b in batches:
+    for b in sliced(batches, 0):
         rows = []
         for t in b.column(0).to_pylist():
             out: set = set()
@@ -296,13 +327,18 @@ class Scorer:
 
 
 def with_score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
-    """The columns given, text among them, and a score from 0 to 1; a null text scores as an empty one."""
+    """The columns given, text among them, and a score from 0 to 1.
+
+    A null text scores as an empty one, very long ones are read whole, repeated rows stay, and no documents give no
+    rows. A column of the score's name is replaced.
+    """
+    docs = docs.drop(name)
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches):
         scorer = Scorer(held.value)
-        for b in batches:
+        for b in sliced(batches, at):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([scorer.score(t or "") for t in b.column(at).to_pylist()], pa.float64())], names=[*b.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
