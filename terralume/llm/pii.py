@@ -1,9 +1,16 @@
-"""Personal data: expressions propose spans, checksums confirm them, words nearby adjust the score."""
+"""Personal data: expressions propose spans, checksums confirm them, words nearby adjust the score.
+
+A span's score starts from what confirms it: a checksum (cards, IBANs), a form that hardly anything else has (e-mail
+addresses, IP addresses, international numbers, keys of known form, private-key blocks), or nothing. Context words
+raise or lower it. Spans of the base kinds always stand; any other one stands if its score is ACCEPT or more.
+"""
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,12 +19,17 @@ from pyspark.sql import functions as F
 from terralume.llm.common import sliced
 
 #: Base kinds in the order of digests, then the kinds that this operator adds.
-KINDS = ("email", "ip", "card", "phone", "iban", "ipv6")
+KINDS = ("email", "ip", "card", "phone", "iban", "ipv6", "secret")
 BASE = KINDS[:4]
 #: Characters before and after a span in which context words count.
 NEAR = 40
-#: Score that a span beside the base ones needs.
+#: Score that a span beside the base ones needs; scores before context words: confirmed by a checksum, by form, not at all.
 ACCEPT = 0.5
+CONFIRMED, FORMED, PROPOSED = 0.9, 0.7, 0.4
+#: What context words for and against a kind change a score by.
+RAISE, LOWER = 0.2, 0.35
+#: Bits of entropy a character that a value has at least to be random (hex digits: RANDOM_HEX).
+RANDOM, RANDOM_HEX = 3.0, 2.5
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -57,11 +69,22 @@ _OTHER = re.compile(r"[0-9]{4}([./-])[0-9]{1,2}\1[0-9]{1,2}(?![0-9])|[0-9]{1,2}(
 _IPV6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
 _CARD_FORM = re.compile(r"(?<![0-9])(?:[0-9]{16}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[47][0-9]{2}([ -]?)[0-9]{6}\2[0-9]{5})(?![0-9])")
 _DIGIT = re.compile(r"[0-9]")
+# Keys whose form says what they are, and values behind a name that says it.
+_KEY = re.compile(
+    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]{0,10000}-----END [A-Z ]{0,30}PRIVATE KEY-----)?"
+    r"|(?<![A-Za-z0-9_])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,255}|github_pat_[A-Za-z0-9_]{20,255}|glpat-[A-Za-z0-9_-]{20,255}|xox[abprs]-[A-Za-z0-9-]{10,255}|sk-[A-Za-z0-9_-]{20,255}|[sr]k_(?:live|test)_[A-Za-z0-9]{10,255}|AIza[A-Za-z0-9_-]{35}|npm_[A-Za-z0-9]{36}|eyJ[A-Za-z0-9_-]{10,4000}\.[A-Za-z0-9_-]{10,4000}\.[A-Za-z0-9_-]{10,4000})(?![A-Za-z0-9_])"
+)
+_NAMED = re.compile(r"(?<![A-Za-z0-9])((?:[A-Za-z0-9]{1,30}[_-]){0,4}(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|private[_-]?key|credentials?|bearer|authorization)(?:[_-][A-Za-z0-9]{1,30}){0,2})[\"']?\s{0,3}(?:[:=]{1,2}|=>|\bis\b|\s)\s{0,3}[\"'`]?([A-Za-z0-9+/_.~$!@#%^&*-]{8,512}={0,2})", re.IGNORECASE)
+_HEX = re.compile(r"[0-9a-fA-F]+")
+_BARE = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-]{20,512}(?![A-Za-z0-9+/_-])")
 #: Words that raise or lower the score of a kind nearby.
 _FOR = {
     "card": re.compile(r"\b(?:card|visa|mastercard|carte|karte|tarjeta|payment)\b", re.IGNORECASE),
     "phone": re.compile(r"\b(?:phone|tel|call|mobile|fax|teléfono|téléphone|telefon)\b", re.IGNORECASE),
     "ip": re.compile(r"\b(?:ip|host|server|address|adresse)\b", re.IGNORECASE),
+    "email": re.compile(r"\b(?:e-?mail|mail|contact|write|correo|courriel)\b", re.IGNORECASE),
+    "ipv6": re.compile(r"\b(?:ip|ipv6|host|server|address|adresse)\b", re.IGNORECASE),
+    "secret": re.compile(r"(?<![A-Za-z])(?:password|passwd|pwd|secret|token|api[ _-]?key|apikey|access[ _-]?key|private[ _-]?key|credentials?|bearer|authorization|auth)(?![A-Za-z])", re.IGNORECASE),
     "iban": re.compile(r"\b(?:iban|account|konto|compte|cuenta|bank)\b", re.IGNORECASE),
 }
 _AGAINST = re.compile(r"\b(?:version|isbn|order|invoice|build|sample)\b", re.IGNORECASE)
@@ -149,40 +172,68 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def score(text: str, kind: str, begin: int, end: int, confirmed: bool) -> float:
-    """0 to 1: 0.8 if a checksum confirms the span, else 0.4; context words move it by 0.2 up or 0.35 down."""
+def entropy(text: str) -> float:
+    """Bits a character of the text's own character frequencies."""
+    n = len(text)
+    return -sum(k / n * math.log2(k / n) for k in Counter(text).values()) if n else 0.0
+
+
+def _random(value: str) -> bool:
+    """Whether a value looks drawn at random: digits and letters, and enough bits a character."""
+    if not _DIGIT.search(value) or not re.search("[A-Za-z]", value):
+        return False
+    return entropy(value) >= (RANDOM_HEX if _HEX.fullmatch(value) else RANDOM)
+
+
+def _secrets(text: str):
+    """Keys and tokens (start, end, what confirms it): by their form; random values behind a name like token; random bare words of 20 characters or more."""
+    for m in _KEY.finditer(text):
+        yield *m.span(), FORMED
+    if _FOR["secret"].search(text):
+        for m in _NAMED.finditer(text):
+            if _random(m[2]):
+                yield *m.span(2), FORMED
+        for m in _BARE.finditer(text):
+            if _random(m[0]):
+                yield *m.span(), PROPOSED
+
+
+def score(text: str, kind: str, begin: int, end: int, start: float) -> float:
+    """0 to 1: start, more with context words for the kind within NEAR characters, less with words against it."""
     near = text[max(0, begin - NEAR) : begin] + " " + text[end : end + NEAR]
-    s = 0.8 if confirmed else 0.4
     if kind in _FOR and _FOR[kind].search(near):
-        s += 0.2
+        start += RAISE
     if _AGAINST.search(near):
-        s -= 0.35
-    return min(1.0, max(0.0, s))
+        start -= LOWER
+    return min(1.0, max(0.0, round(start, 6)))
 
 
 def spans(text: str) -> list[tuple[str, int, int, float]]:
-    """All spans by kind and start: the base ones, always, and those that the method adds.
+    """All spans (kind, start, end, score) by kind and start: the base ones, always, and those that the method adds.
 
-    An added span stands if its score is ACCEPT or more: context words lift cards and IBANs whose checksum
-    fails and numbers without a country code over it. IBANs that mod 97 confirms and full IPv6 forms always stand.
+    An added span stands if its score is ACCEPT or more and no span of its kind, or none at all if nothing confirms
+    it, overlaps it: context words lift cards and IBANs whose checksum fails, numbers without a country code and
+    random words over it, and words against a kind press IPv6 addresses and keys under it.
     """
     base = base_spans(text)
-    out = [(k, a, b, score(text, k, a, b, True)) for k, a, b in base]
+    sure = {"card": CONFIRMED}
+    out = [(k, a, b, score(text, k, a, b, sure.get(k, FORMED))) for k, a, b in base]
+    more = []
     if _DIGIT.search(text):
-        more = [("iban", *x) for x in _ibans(text)]
+        more = [("iban", a, b, CONFIRMED if ok else PROPOSED) for a, b, ok in _ibans(text)]
         if ":" in text:
-            more += [("ipv6", *m.span(), True) for m in _IPV6.finditer(text)]
-        out += [(k, a, b, score(text, k, a, b, True)) for k, a, b, sure in more if sure]
+            more += [("ipv6", *m.span(), FORMED) for m in _IPV6.finditer(text)]
         # Cards of usual form beside other digits, and shorter ones.
-        more = [("card", *m.span(), luhn(re.sub("[^0-9]", "", m[0]))) for m in _CARD_FORM.finditer(text)] + [x for x in more if not x[3]]
+        more += [("card", *m.span(), CONFIRMED if luhn(re.sub("[^0-9]", "", m[0])) else PROPOSED) for m in _CARD_FORM.finditer(text)]
         if _FOR["phone"].search(text):
-            more += [("phone", a, b, False) for a, b in _national(text)]
-        for kind, a, b, sure in more:
-            if any(x < b and a < y for k, x, y, _ in out if k == kind or not sure):
-                continue
-            s = score(text, kind, a, b, sure)
-            if s >= ACCEPT:
-                out.append((kind, a, b, s))
+            more += [("phone", a, b, PROPOSED) for a, b in _national(text)]
+    more += [("secret", *x) for x in _secrets(text)]
+    for kind, a, b, start in sorted(more, key=lambda x: -x[3]):
+        if any(x < b and a < y for k, x, y, _ in out if k == kind or start == PROPOSED):
+            continue
+        s = score(text, kind, a, b, start)
+        if s >= ACCEPT:
+            out.append((kind, a, b, s))
     rank = {k: i for i, k in enumerate(KINDS)}
     return sorted(out, key=lambda x: (rank[x[0]], x[1]))
 
@@ -208,21 +259,25 @@ def _report(batches):
         for text in b.column(1).to_pylist():
             found = spans(text or "")
             base = base_spans(text or "") if found else []
-            rows.append((*(sum(x[0] == k for x in base) for k in BASE), hashlib.sha256(_digest(base).encode()).hexdigest(), _digest(found)))
-        cols = list(zip(*rows)) or [()] * 6
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.string()) for c in cols[4:])], names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
+            rows.append((*(sum(x[0] == k for x in base) for k in BASE), hashlib.sha256(_digest(base).encode()).hexdigest(), _digest(found), [x[3] for x in found]))
+        cols = list(zip(*rows)) or [()] * 7
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.string()) for c in cols[4:6]), pa.array(cols[6], pa.list_(pa.float64()))], names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "scores"])
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of the base kinds, base_sha256 and spans of every whole text; offsets are code points.
+    """doc_id, counts of the base kinds, base_sha256, spans and their scores of every whole text; offsets are code points.
 
-    Null and empty texts have no spans. Repeated rows stay; other columns don't matter.
+    Null and empty texts have no spans, very long ones are read whole. Repeated rows stay; other columns don't
+    matter; no documents give no rows.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_report, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_report, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores array<double>")
 
 
 def masked_documents(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, their texts masked; null texts stay null; n_chars, if there, follows the text."""
+    """The documents, all columns, their texts masked; n_chars, if there, follows the text.
+
+    Null texts stay null, repeated rows stay, very long texts are masked whole, no documents give no rows.
+    """
     at = docs.columns.index("text")
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
