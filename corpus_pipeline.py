@@ -12,22 +12,27 @@ from terralume.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents whose score is below the threshold, all columns; null and empty texts score the bias, repeats stay, no documents give none."""
     return toxicity.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five words, 0.8): the smallest doc_id, nulls last; texts without words all stay."""
     return ngram_join.keep_one(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, texts masked; null texts stay null, repeats stay, no documents give none."""
     return pii.masked_documents(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them (0 to 2); a null source is one, repeats are documents of their own, no documents give none."""
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places; null texts are one separator, repeats get places of their own, no documents give none."""
     return packing.pack_documents(docs, tokenizer_path())
 
 
