@@ -38,7 +38,17 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete what materialize has written, once all that is read from it has been written itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._written)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -182,7 +192,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialize(links.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = mark(edges)
     while seen[0]:
-        edges = materialize(star(star(edges, True), False))
+        last, edges = edges, materialize(star(star(edges, True), False))
+        release(last)
         now = mark(edges)
         if now == seen:
             break

@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralume.llm.common import bucket_count, materialize, shingle_sets
-from terralume.llm.ngram_join import PARITY, ROWS, _node, resolve, summaries
+from terralume.llm.common import bucket_count, materialize, shingle_sets, sliced
+from terralume.llm.ngram_join import COUNTER_BITS, PARITY, ROWS, _node, components_of, resolve, summaries
 
 WIDTH = 5
 PERMUTATIONS = 128
@@ -89,7 +89,7 @@ def _signed(batches):
     held = None
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    for b in batches:
+    for b in sliced(batches, 2):
         part, doc, text, copy = (b.column(i).to_pylist() for i in range(4))
         sigs = [signature(s) for s in shingle_sets(text, WIDTH)]
         pending = []
@@ -116,7 +116,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def _bands(batches, width: int):
-    for b in batches:
+    for b in sliced(batches, 0):
         token, node, n = [], [], []
         for s in shingle_sets(b.column(0).to_pylist(), width):
             if len(s):
@@ -126,13 +126,13 @@ def _bands(batches, width: int):
                     token.append(int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "big", signed=True))
                 node += [_node(s)] * BANDS
                 n += [len(s)] * BANDS
-        yield pa.RecordBatch.from_arrays([pa.array(token, pa.int64()), pa.array(node, pa.binary()), pa.array(n, pa.int32()), pa.array([0] * len(n), pa.int32())], names=["token", "node", "n", "pos"])
+        yield pa.RecordBatch.from_arrays([pa.array(token, pa.int64()), pa.array(node, pa.binary()), pa.array(n, pa.int32()), pa.array([-1] * len(n), pa.int32())], names=["token", "node", "n", "pos"])
 
 
 def _nodes(batches, width: int):
-    for b in batches:
-        columns = summaries(b.column(0), list(shingle_sets(b.column(1).to_pylist(), width)))
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "node", *PARITY, "wide"])
+    for b in sliced(batches, 2):
+        columns = summaries(b.column(0), b.column(1), list(shingle_sets(b.column(2).to_pylist(), width)))
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "n", "node", *PARITY, "wide"])
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = 80) -> DataFrame:
@@ -140,7 +140,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = 80) -> D
 
     Nulls, empty texts and repeats as in ngram_join.similar_groups.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     rows = materialize(docs.mapInArrow(lambda it: _nodes(it, width), ROWS))
-    posts = docs.select("text").mapInArrow(lambda it: _bands(it, width), "token long, node binary, n int, pos int")
-    return resolve(docs, rows, posts, width, percent)
+    posts = materialize(docs.select("text").mapInArrow(lambda it: _bands(it, width), "token long, node binary, n int, pos int"))
+    order = docs.sparkSession.sparkContext.broadcast(bytes(1 << COUNTER_BITS))
+    return components_of(resolve(docs, rows, posts, width, percent, order))

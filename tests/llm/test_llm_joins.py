@@ -55,18 +55,90 @@ def test_similar_groups_equal_brute_force(docs_of, seed, width, percent):
 
 def test_similar_groups_edges(docs_of):
     long = " ".join(f"x{i}" for i in range(5000))
-    rows = [(5, long), (3, long + " y"), (3, long), (None, long), (7, None), (None, ""), (9, "é b c d e")]
+    rows = [(5, long), (3, long + " y"), (3, long), (None, long), (None, long + " z"), (7, None), (None, ""), (9, "é\u00a0b c d e")]
     got = sorted(map(str, (tuple(r) for r in ngram_join.similar_groups(docs_of(rows), 4, 85).collect())))
-    assert got == sorted(map(str, [(5, 4997, 3), (3, 4998, 3), (3, 4997, 3), (None, 4997, 3), (7, 0, 7), (None, 0, None), (9, 1, 9)]))
+    assert got == sorted(map(str, [(5, 4997, 3), (3, 4998, 3), (3, 4997, 3), (None, 4997, 3), (None, 4998, 3), (7, 0, 7), (None, 0, None), (9, 1, 9)]))
     assert ngram_join.similar_groups(docs_of([]), 4, 85).collect() == []
 
 
-def test_keep_one(docs_of):
-    a, b = "a b c d e f g h i j k l", "m n o p q r s t u v w"
-    rows = [(1, a), (1, a), (2, a), (3, b), (4, None), (5, ""), (None, b)]
-    kept = ngram_join.keep_one(docs_of(rows))
-    assert kept.columns == docs_of(rows).columns
-    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, [(1, a), (3, b), (4, None), (5, ""), (None, b)]))
+def edited_copies(seed, n, words, most):
+    """Copies of one text with up to so many words replaced: many pairs on either side of the threshold, and one passage in all of them."""
+    r = random.Random(seed)
+    base = [f"b{i}" for i in range(words)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(r.randrange(1, most)):
+            w[r.randrange(words)] = f"e{r.randrange(300)}"
+        out.append((i, " ".join(w + [f"t{i % 7}"])))
+    return out
+
+
+@pytest.mark.parametrize("seed,words,most", [(1, 90, 7), (2, 40, 4)])
+def test_hot_group_equals_brute_force_and_no_pair_is_verified_twice(docs_of, monkeypatch, seed, words, most):
+    rows = edited_copies(seed, 220, words, most)
+    asked = []
+    verify = ngram_join.verify
+
+    def watched(docs, nodes, pairs, *how):
+        asked.extend((bytes(r.a), bytes(r.b)) for r in pairs.collect())
+        return verify(docs, nodes, pairs, *how)
+
+    monkeypatch.setattr(ngram_join, "verify", watched)
+    got = sorted(tuple(r) for r in ngram_join.similar_groups(docs_of(rows), 4, 85).collect())
+    assert got == brute(rows, 4, 85)
+    assert len(asked) == len(set(asked)) and all(a > b for a, b in asked)
+
+
+def test_suffix_filter_never_rejects_a_similar_pair():
+    r = np.random.default_rng(3)
+    rejected = 0
+    for _ in range(400):
+        x = r.integers(0, 1 << 63, 60, dtype=np.uint64) * np.uint64(2)
+        y = np.concatenate([x[r.random(60) < 0.93], r.integers(0, 1 << 63, r.integers(0, 6), dtype=np.uint64)])
+        both = len(np.intersect1d(x, y))
+        true = 100 * both >= 85 * (len(x) + len(y) - both)
+        order = {v: k for k, v in enumerate(r.permutation(np.union1d(x, y)))}
+        x, y = (np.array(sorted(s.tolist(), key=order.get), np.uint64) for s in (x, y))
+        first = min(set(x.tolist()) & set(y.tolist()), key=order.get)
+        i, j = (int(np.flatnonzero(s == np.uint64(first))[0]) for s in (x, y))
+        assert ngram_join.similar(x, y, i, j, 85) == true == ngram_join.similar(x, y, -1, -1, 85)
+        rejected += i + j + ngram_join.suffix_distance(x[i + 1 :], y[j + 1 :]) > 15 * (len(x) + len(y)) / 185
+        assert ngram_join.suffix_distance(x, y) <= len(x) + len(y) - 2 * both
+    assert rejected > 20
+
+
+def kept_of(rows, width=5, percent=80):
+    """Brute force of keep_one: by component of texts, the smallest id (nulls last)."""
+    texts = [(i, t) for i, (_, t) in enumerate(rows)]
+    out, best = [], {}
+    for i, n, c in brute(texts, width, percent):
+        if not n:
+            out.append(rows[i])
+        else:
+            best.setdefault(c, []).append(rows[i])
+    for group in best.values():
+        d = min((d is None, d or 0) for d, _ in group)
+        out.append(("one of", sorted({t for x, t in group if (x is None, x or 0) == d})))
+    return out
+
+
+def test_keep_one_equals_brute_force(docs_of):
+    a, b, c = "a b c d e f g h i j k l", "m n o p q r s t u v w", "unique words that stand in this text alone"
+    rows = [(1, a), (1, a), (2, a), (3, b), (3, c), (4, None), (4, None), (5, ""), (None, b), (None, "x y z x y q"), (None, "x y z x y q"), (7, b)]
+    rows += [(i + 100, t) for i, t in corpus(6, 60)]
+    out = ngram_join.keep_one(docs_of(rows))
+    assert out.columns == docs_of(rows).columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    want = kept_of(rows)
+    assert len(got) == len(want)
+    for w in want:
+        if w[0] == "one of":
+            assert sum(t in w[1] for _, t in got) == 1
+        else:
+            assert got.count(w) == want.count(w)
+    assert (3, c) in got and (3, b) in got and (2, a) not in got and (None, b) not in got
+    assert ngram_join.keep_one(docs_of([])).collect() == []
 
 
 def test_components(spark):
