@@ -106,6 +106,7 @@ def simulate(roads: DataFrame, count: int = 200, seed: int = 42, issue_rate: flo
     cls = F.when(cls.isin(*SPEEDS), cls).otherwise("unclassified")
     speeds = F.create_map(*(F.lit(v) for kv in SPEEDS.items() for v in (kv[0], float(kv[1]))))
     speed = p["speed_limit"].try_cast("double")
+    # What each issue is recorded as.
     errors = {"missing_road_name": "road_name_set_empty", "road_class_anomaly": "road_class_set_invalid", "direction_anomaly": "direction_set_invalid", "speed_limit_anomaly": "speed_limit_set_999", "suspected_dead_end": "point_moved_to_road_endpoint"}
     injected = F.lit("none")
     for k, v in errors.items():
@@ -131,7 +132,7 @@ def simulate(roads: DataFrame, count: int = 200, seed: int = 42, issue_rate: flo
         injected.alias("injected_error"),
         F.bround("lon", 7).alias("base_longitude"),
         F.bround("lat", 7).alias("base_latitude"),
-        F.bround("offset_m", 3).alias("offset_m"),
+        F.bround("offset_m", 2).alias("offset_m"),
     )
 
 

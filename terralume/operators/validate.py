@@ -21,10 +21,21 @@ class Validation(NamedTuple):
 
 
 def with_ordinal(df: DataFrame) -> DataFrame:
-    """Row numbers from 0 where the reader gave none (in the order of the partitions as read)."""
+    """Row numbers from 0, without gaps, where the reader gave none (in the order of the partitions as read).
+
+    One row for each partition goes over the driver; rows are numbered where they are read.
+    """
     if ORDINAL in df.columns:
         return df
-    return df.withColumn(ORDINAL, F.monotonically_increasing_id())
+    x = df.withColumn("_place", F.monotonically_increasing_id())
+    part = F.shiftright("_place", 33)
+    first, begins = 0, []
+    for r in sorted(x.groupBy(part.alias("part")).count().collect()):
+        begins.append((r["part"], first))
+        first += r["count"]
+    starts = F.broadcast(df.sparkSession.createDataFrame(begins, "_part long, _begin long"))
+    x = x.join(starts, part == F.col("_part")).withColumn(ORDINAL, F.col("_begin") + F.col("_place") - F.shiftleft("_part", 33))
+    return x.drop("_place", "_part", "_begin")
 
 
 def duplicated(key: Column, is_blank: Column, ordinal: Column) -> Column:

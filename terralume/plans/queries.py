@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from terralume.functions.text import json_row
 from terralume.operators.geo import coordinate_states, match_records, segments, utm_sql
 from terralume.operators.legacy import validate_legacy
-from terralume.operators.orders import issue_orders as orders_of
+from terralume.operators.orders import has_issue, issue_orders as orders_of
 from terralume.operators.orders import key, priority
 from terralume.operators.simulate import ATTRIBUTE_ISSUES, interpolate, offset, schedule
 from terralume.operators.validate import Validation, validate
@@ -90,7 +90,7 @@ def region_statistics(spark, sf_dir):
 def region_statistics_unnamed(spark, sf_dir):
     """Over reports that weren't validated, so that blank regions occur."""
     r = reports(spark, sf_dir).withColumn("batch_id", F.lit(BATCH))
-    return report.region_statistics(r, r.filter("_ordinal % 3 = 0").withColumn("priority", priority(F.col("issue_type"))), BATCH)
+    return report.region_statistics(r, r.filter(has_issue(F.col("issue_type"))).withColumn("priority", priority(F.col("issue_type"))), BATCH)
 
 
 def high_priority_issues(spark, sf_dir):
@@ -215,7 +215,7 @@ def oracle_sql() -> dict[str, str]:
         "data_overview": f"""{base}{orders} select 'events.csv' as "数据源", timestamp '2026-07-22 09:00:00' as "上传时间", count(*) as "总记录数", count(*) filter (where error_code = '') as "有效记录数", count(*) filter (where error_code <> '') as "错误记录数", round(count(*) filter (where error_code = '') * 100.0e0 / nullif(count(*), 0), 2) as "有效率(%)", (select count(*) from orders) as "问题工单数", (select count(*) from orders where priority = 'high') as "高优先级问题数" from marked""",
         "issue_type_statistics": f"""{base}{orders} select issue_type as "问题类型", count(*) as "问题数量", count(*) filter (where priority = 'high') as "高优先级数量", round(count(*) * 100.0e0 / nullif(sum(count(*)) over (), 0), 2) as "占比(%)" from orders group by issue_type""",
         "region_statistics": f"{base}{orders}{regions('valid', 'orders')}",
-        "region_statistics_unnamed": f"with raw as ({raw}), part as (select *, {prio} as priority from raw where _ordinal % 3 = 0){regions('raw', 'part')}",
+        "region_statistics_unnamed": f"with raw as ({raw}), part as (select *, {prio} as priority from raw where lower(trim(issue_type)) not in ('', 'normal', 'normal_observation', 'none')){regions('raw', 'part')}",
         "high_priority_issues": f"""{base}{orders}{near} select o.record_id as "记录编号", o.issue_type as "问题类型", o.priority as "优先级", o.region as "区域", cast(b.k as varchar) as "匹配道路编号", b.s_name as "匹配道路名称", round(b.d, 3) as "匹配距离(米)", o.status as "工单状态" from orders o join best b using (_ordinal) where o.priority = 'high'""",
         "error_details": f"""{base} select coalesce(nullif(trim(record_id), ''), record_id) as record_id, report_time, longitude, latitude, issue_type, source, description, region, road_name, road_class, direction, speed_limit, error_code as "错误代码", error_message as "错误说明" from marked where error_code <> ''""",
         "utm_projection": f"{base} select record_id, round({e}, 3) as easting, round({n}, 3) as northing from valid",

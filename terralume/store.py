@@ -62,6 +62,8 @@ def persist_batch(spark: SparkSession, root: str, source_name: str, result: Vali
     n = valid.count()
     if n != counts["valid_records"]:
         raise ValueError(f"{n} matched rows for {counts['valid_records']} valid ones")
+    if counts["total_records"] != n + result.rejected.count():
+        raise StorageError(f"the summary's {counts['total_records']} records aren't the valid and the rejected ones")
     at, b = F.lit(now).cast("timestamp_ntz"), F.lit(batch_id)
     fields = ("matched_road_id", "matched_road_name", "match_distance_m", "match_status")
     records = valid.withColumns({f: F.lit(None).cast("double" if f == "match_distance_m" else "string") for f in fields if f not in valid.columns})

@@ -6,6 +6,7 @@ import json
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from terralume import sinks, store
 from terralume.functions.text import number, timestamp
@@ -124,3 +125,63 @@ def test_sinks(spark):
     assert tuple(sinks.map_centre(df.limit(0)).first()) == sinks.CENTRE
     assert sinks.report_name(dt.date(2026, 7, 22)) == "road_quality_daily_20260722.xlsx"
     assert zipfile.is_zipfile(io.BytesIO(sinks.legacy_workbook(df, df.limit(0), "a.csv", dt.datetime(2026, 1, 1))))
+
+
+def _book(cells, styles):
+    """A workbook whose first sheet has these rows of raw cells."""
+    import zipfile
+
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="{rel}"><sheets><sheet name="a" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", f"<styleSheet {main}>{styles}</styleSheet>")
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {main}><sheetData>" + "".join(f"<row>{''.join(r)}</row>" for r in cells) + "</sheetData></worksheet>")
+    return out.getvalue()
+
+
+def test_xlsx_dates_and_whole_numbers(spark):
+    from terralume.sources.files import read_xlsx
+
+    text = lambda v: f'<c t="inlineStr"><is><t>{v}</t></is></c>'
+    num = lambda v, s=0: f'<c s="{s}"><v>{v}</v></c>'
+    styles = '<numFmts><numFmt numFmtId="164" formatCode="yyyy\\-mm\\-dd hh:mm"/><numFmt numFmtId="165" formatCode="0.00&quot;d&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/></cellXfs>'
+    rows = [[text(c) for c in ("record_id", "mixed", "report_time", "other", "x")]]
+    rows += [[num(1234567), num(1234567), num(46225.375, 2), num(46225, 1), num(1.5, 3)], [num(1234568), text("a"), num("46225.5", 2), text("b"), num(2, 3)]]
+    got = read_xlsx(spark, _book(rows, styles))
+    assert dict(got.dtypes) | {"_ordinal": ""} == {"record_id": "bigint", "mixed": "string", "report_time": "timestamp_ntz", "other": "string", "x": "double", "_ordinal": ""}
+    a, b = got.orderBy("record_id").collect()
+    assert (a.record_id, a.mixed, a.report_time, a.other, a.x) == (1234567, "1234567", dt.datetime(2026, 7, 22, 9), "2026-07-22 00:00:00", 1.5) and b.x == 2.0
+
+
+def test_times_are_utc_whatever_the_session_zone(spark):
+    from terralume.functions.text import iso, timestamp
+
+    texts = ["2026-07-22T09:00:00+08:00", "2026-07-22 09:00:00", "2026-07-22T09:00:00Z", "2026/7/22 9:05", "2026-07-22T09:00:00.250-0530", "2026-07-22", "no"]
+    want = ["2026-07-22 01:00:00", "2026-07-22 09:00:00", "2026-07-22 09:00:00", "2026-07-22 09:05:00", "2026-07-22 14:30:00.250000", "2026-07-22 00:00:00", "None"]
+    shown = ["2026-07-22T09:00:00+08:00", "2026-07-22T09:00:00", "2026-07-22T09:00:00+00:00", "2026-07-22T09:05:00", "2026-07-22T09:00:00.250000-05:30", "2026-07-22T00:00:00", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    try:
+        for zone in ("Asia/Shanghai", "UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            got = df.select("i", timestamp(F.col("t")).alias("u"), iso(F.col("t")).alias("s")).orderBy("i").collect()
+            assert [str(r.u) for r in got] == want and [r.s for r in got] == shown, zone
+            typed = spark.sql("select timestamp '2026-07-22 09:00:00+08:00' as t").select(timestamp(F.col("t"), "timestamp").alias("u"))
+            assert str(typed.first().u) == "2026-07-22 01:00:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_rows_without_ordinals_are_numbered_without_gaps(spark):
+    df = spark.createDataFrame([(f"r{i}", "116.4", "39.9") for i in range(40)], "ID string, Lon string, `Lat` string").repartition(5)
+    assert sorted(r.source_row for r in validate_legacy(df).valid.collect()) == list(range(2, 42))
+
+
+def test_a_summary_that_does_not_add_up_is_refused(spark, tmp_path):
+    store.initialize(spark, str(tmp_path))
+    r = validate(spark.createDataFrame([("a", 1)], "record_id string, x int"))
+    wrong = r._replace(summary=r.summary.withColumn("total_records", F.lit(7).cast("long")))
+    with pytest.raises(store.StorageError):
+        store.persist_batch(spark, str(tmp_path), "a.csv", wrong)
