@@ -3,7 +3,8 @@
 URLs that a rule accepts or rejects train two variable-order Markov models (contexts of 0 to ORDER
 characters, each order smoothed by the next shorter one). The counts are exact and live in a written table
 that grows with the corpus; the grams of the URLs are joined to it. The score is the difference of
-log-likelihoods a character; a normal model of it over the training URLs calibrates it to a probability.
+log-likelihoods a character. Training URLs are dealt to FOLDS by a hash and scored by the models of the other
+folds; a normal model over these held-back scores calibrates the score to a probability.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 ORDER = 4
 #: Weight of the shorter context's estimate, in characters seen.
 SMOOTHING = 2.0
+FOLDS = 4
+#: The model that all folds train.
+WHOLE = -1
 _PAD = "\x01" * ORDER
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -57,17 +61,20 @@ def windows(text: Column) -> Column:
 
 
 def counted(urls: DataFrame) -> DataFrame:
-    """How often each character follows each context of 0 to ORDER characters: gram (context and character), yes, no.
+    """How often each character follows each context of 0 to ORDER characters: model, gram (context and character), yes, no.
 
-    From rows (text, label: 1 accepted, 0 rejected); a gram's length tells its order.
+    From rows (text, fold, label: 1 accepted, 0 rejected); a gram's length tells its order. Model WHOLE counts all
+    folds, model i all but fold i.
     """
-    whole = urls.select("label", F.explode(windows(F.col("text"))).alias("w")).groupBy("w").agg(F.count_if(F.col("label") == 1).alias("yes"), F.count_if(F.col("label") == 0).alias("no"))
+    whole = urls.select("fold", "label", F.explode(windows(F.col("text"))).alias("w")).groupBy("fold", "w").agg(F.count_if(F.col("label") == 1).alias("yes"), F.count_if(F.col("label") == 0).alias("no"))
     parts = F.array(*(F.substring("w", ORDER + 1 - k, k + 1) for k in range(ORDER + 1)))
-    return materialize(whole.select("yes", "no", F.explode(parts).alias("gram")).groupBy("gram").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")))
+    grams = whole.select("fold", "yes", "no", F.explode(parts).alias("gram")).groupBy("fold", "gram").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    models = F.filter(F.array(*map(F.lit, (WHOLE, *range(FOLDS)))), lambda m: m != F.col("fold"))
+    return materialize(grams.select(F.explode(models).alias("model"), "gram", "yes", "no").groupBy("model", "gram").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")))
 
 
 def ratios(asked: DataFrame, counts: DataFrame) -> DataFrame:
-    """w and ratio (log-likelihood if accepted less that if rejected) of distinct windows w.
+    """model, w and ratio (log-likelihood if accepted less that if rejected) of distinct windows (model, w).
 
     Each order's grams are joined to their counts, their contexts' and their estimate by the next shorter
     order; as grams are distinct, no key has more rows than there are characters.
@@ -75,29 +82,29 @@ def ratios(asked: DataFrame, counts: DataFrame) -> DataFrame:
     p = None
     for k in range(ORDER + 1):
         here = counts.filter(F.char_length("gram") == k + 1)
-        contexts = here.groupBy(F.substring("gram", 1, k).alias("context")).agg(F.sum("yes").alias("all_yes"), F.sum("no").alias("all_no"))
-        x = asked.select(F.substring("w", ORDER + 1 - k, k + 1).alias("gram")).distinct().withColumn("context", F.substring("gram", 1, k))
-        x = x.join(here, "gram", "left").join(contexts, "context", "left")
-        x = x.withColumn("shorter", F.substring("gram", 2, k)).join(p, "shorter") if k else x.withColumns({"p_yes": F.lit(1 / 64), "p_no": F.lit(1 / 64)})
+        contexts = here.groupBy("model", F.substring("gram", 1, k).alias("context")).agg(F.sum("yes").alias("all_yes"), F.sum("no").alias("all_no"))
+        x = asked.select("model", F.substring("w", ORDER + 1 - k, k + 1).alias("gram")).distinct().withColumn("context", F.substring("gram", 1, k))
+        x = x.join(here, ["model", "gram"], "left").join(contexts, ["model", "context"], "left")
+        x = x.withColumn("shorter", F.substring("gram", 2, k)).join(p, ["model", "shorter"]) if k else x.withColumns({"p_yes": F.lit(1 / 64), "p_no": F.lit(1 / 64)})
         likely = lambda c: (F.coalesce(F.col(c), F.lit(0)) + SMOOTHING * F.col(f"p_{c}")) / (F.coalesce(F.col(f"all_{c}"), F.lit(0)) + SMOOTHING)
-        x = x.select("gram", likely("yes").alias("p_yes"), likely("no").alias("p_no"))
+        x = x.select("model", "gram", likely("yes").alias("p_yes"), likely("no").alias("p_no"))
         p = x.withColumnRenamed("gram", "shorter")
-    return materialize(x.select(F.col("gram").alias("w"), (F.ln("p_yes") - F.ln("p_no")).alias("ratio")))
+    return materialize(x.select("model", F.col("gram").alias("w"), (F.ln("p_yes") - F.ln("p_no")).alias("ratio")))
 
 
 def scores(texts: DataFrame, counts: DataFrame) -> DataFrame:
-    """k1, k2, s of distinct texts (k1, k2, text): the mean ratio of their windows; empty texts have no row.
+    """k1, k2, s of distinct texts (k1, k2, text, model): the mean ratio of their windows; empty texts have no row.
 
     Ratios are added as whole numbers, so that their order doesn't matter.
     """
-    grams = texts.select("k1", "k2", F.explode(windows(F.col("text"))).alias("w"))
-    found = ratios(materialize(grams.select("w").distinct()), counts)
+    grams = texts.select("k1", "k2", "model", F.explode(windows(F.col("text"))).alias("w"))
+    found = ratios(materialize(grams.select("model", "w").distinct()), counts)
     fixed = F.round(F.col("ratio") * (1 << 36)).cast("long")
-    return materialize(grams.join(small(found, 32), "w").groupBy("k1", "k2").agg((F.sum(fixed) / F.lit(float(1 << 36)) / F.count(F.lit(1))).alias("s")))
+    return materialize(grams.join(small(found, 36), ["model", "w"]).groupBy("k1", "k2").agg((F.sum(fixed) / F.lit(float(1 << 36)) / F.count(F.lit(1))).alias("s")))
 
 
 def calibrate(scored: DataFrame) -> dict:
-    """The slope and cut of the probability, from rows (s, label) of the training URLs."""
+    """The slope and cut of the probability, from rows (s, label) of training URLs that the score's model hasn't seen."""
     model = {"slope": 1.0, "cut": 0.0}
     by = {r[0]: r for r in scored.groupBy("label").agg(F.avg("s"), F.coalesce(F.var_pop("s"), F.lit(0.0)), F.count(F.lit(1))).collect()}
     if 0 in by and 1 in by and by[1][1] > by[0][1]:
@@ -114,14 +121,16 @@ def probability(score_: Column, model: dict) -> Column:
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict (allow or block), p_allow of every page.
 
+    URLs that a rule decides have the probability that models without their fold give them; equal URLs share a fold.
     Null URLs and those without :// have an empty host and path and no rule; the model decides them from
     nothing, at its cut (allow). Repeated rows stay; other columns don't matter; no pages give no rows.
     """
     urls = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     urls = materialize(urls.withColumn("rule", matched_rule(F.col("host"), F.col("path"), rules)).withColumn("text", F.concat("host", "path")).withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(7), "text")}))
-    known = urls.filter("rule is not null").select("k1", "k2", "text", (rule_verdict(F.col("rule"), rules) == "allow").cast("int").alias("label"))
+    fold = F.pmod(F.col("k1"), F.lit(FOLDS)).cast("int")
+    known = urls.filter("rule is not null").select("k1", "k2", "text", fold.alias("fold"), (rule_verdict(F.col("rule"), rules) == "allow").cast("int").alias("label"))
     if known.select("label").distinct().count() == 2:
-        texts = materialize(urls.filter("text <> ''").select("k1", "k2", "text").dropDuplicates(["k1", "k2"]))
+        texts = materialize(urls.filter("text <> ''").select("k1", "k2", "text", F.when(F.col("rule").isNotNull(), fold).otherwise(WHOLE).alias("model")).dropDuplicates(["k1", "k2"]))
         scored = small(scores(texts, counted(known)), 40)
         model = calibrate(known.join(scored, ["k1", "k2"]))
         urls = urls.join(scored, ["k1", "k2"], "left")

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from terralume.llm import crf_quality, mixing, packing, pii, quality_rules, sharding, toxicity, url_filter
 from terralume.llm.queries import tokenizer_path
@@ -308,23 +309,26 @@ def test_url_probabilities_equal_exact_counts(spark):
     rows = urls + urls[:3] + ["http://", None]
     got = {x.page_id: x for x in url_filter.judge(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")).collect()}
     known = [(got[i].host + got[i].path, got[i].verdict == "allow") for i in got if got[i].rule]
-    fold = lambda t: "\x01" * 4 + re.sub("[0-9]", "0", t)
+    texts = spark.createDataFrame([(t,) for t in {t for t, _ in known}], "t string")
+    part = {x.t: x.f for x in texts.select("t", F.pmod(F.xxhash64("t"), F.lit(4)).alias("f")).collect()}
+    padded = lambda t: "\x01" * 4 + re.sub("[0-9]", "0", t)
     seen, after = Counter(), Counter()
     for t, y in known:
         for i in range(len(t)):
             for k in range(5):
-                w = fold(t)[i + 4 - k : i + 5]
-                seen[y, w] += 1
-                after[y, k, w[:-1]] += 1
+                w = padded(t)[i + 4 - k : i + 5]
+                for without in {None, 0, 1, 2, 3} - {part[t]}:
+                    seen[without, y, w] += 1
+                    after[without, y, k, w[:-1]] += 1
 
     def score(t):
-        out = 0.0
+        out, without = 0.0, part.get(t)
         for i in range(len(t)):
             for y in (True, False):
                 p = 1 / 64
                 for k in range(5):
-                    w = fold(t)[i + 4 - k : i + 5]
-                    p = (seen[y, w] + 2 * p) / (after[y, k, w[:-1]] + 2)
+                    w = padded(t)[i + 4 - k : i + 5]
+                    p = (seen[without, y, w] + 2 * p) / (after[without, y, k, w[:-1]] + 2)
                 out += np.log(p) * (1 if y else -1)
         return out / len(t)
 
