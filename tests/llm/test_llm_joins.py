@@ -183,6 +183,8 @@ def test_fingerprints(docs_of):
         sets = list(common.shingle_sets([t, e, nxt], 5))
         true = [len(np.intersect1d(sets[0], s)) / max(1, len(np.union1d(sets[0], s))) if len(sets[0]) or len(s) else 1.0 for s in sets[1:]]
         assert abs(got[d].near_edited - true[0]) < 0.25 and abs(got[d].near_next - true[1]) < 0.25
+    groups = {d: c for d, _, c in brute(rows, 5, 80)}
+    assert {d: x.component_id for d, x in got.items()} == groups and groups[1009] == 0
     assert got[0].fingerprint == got[1009].fingerprint and got[1000].fingerprint == got[1003].fingerprint
     assert minhash.fingerprints(docs_of([])).collect() == []
     alone = minhash.fingerprints(docs_of([(1, "a b c d e f")])).collect()
