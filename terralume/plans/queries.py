@@ -14,7 +14,7 @@ from terralume.operators.orders import has_issue, issue_orders as orders_of
 from terralume.operators.orders import key, priority
 from terralume.operators.simulate import ATTRIBUTE_ISSUES, interpolate, offset, schedule
 from terralume.operators.validate import Validation, validate
-from terralume.plans import report
+from terralume.plans import report, stored
 from terralume.plans.fixtures import ROADS_SQL, lines, reports, reports_sql, roads, table
 from terralume.schema import HIGH, MATCHED_MAX_M, MEDIUM, REQUIRED_FIELDS, REVIEW_MAX_M, STANDARD_FIELDS, UNNAMED_REGION
 from terralume.sinks import map_centre
@@ -159,7 +159,7 @@ def record_map_center(spark, sf_dir):
 
 def queries() -> dict:
     fs = (validated_reports, error_code_counts, validation_summary, missing_column_rejects, duplicate_ids, valid_records, issue_orders, data_overview, issue_type_statistics, region_statistics, region_statistics_unnamed, high_priority_issues, error_details, utm_projection, nearest_road, nearest_road_grid, coordinate_state, line_interpolation, perpendicular_offset, road_segments, issue_schedule, legacy_valid, legacy_errors, record_map_center)
-    return {f.__name__: f for f in fs}
+    return {f.__name__: f for f in fs} | stored.queries()
 
 
 def oracle_sql() -> dict[str, str]:
@@ -229,4 +229,4 @@ def oracle_sql() -> dict[str, str]:
         "legacy_valid": f"{legacy_base} select _ordinal + 2 as source_row, trim(record_id) as record_id, cast(longitude as double) as longitude, cast(latitude as double) as latitude, case when trim(severity) = '' then severity else lower(trim(severity)) end as severity, replace(report_time, ' ', 'T') as reported_at from marked where error_codes = ''",
         "legacy_errors": f"{legacy_base} select _ordinal + 2 as source_row, case when trim(record_id) = '' or dup > 1 then record_id else trim(record_id) end as record_id, case when severity = ' HIGH ' then 'high' else severity end as severity, error_codes, error_messages from marked where error_codes <> ''",
         "record_map_center": f"{base} select round(coalesce(avg(latitude), 39.9042), 6) as latitude, round(coalesce(avg(longitude), 116.4074), 6) as longitude from valid",
-    }
+    } | stored.oracle_sql(raw, base, orders, near, status)
