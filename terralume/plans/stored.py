@@ -93,7 +93,7 @@ def optional_fields_filled(spark, sf_dir):
 
 def zoned_times(spark, sf_dir):
     at = timestamp(F.concat("report_time", F.lit("+08:00")))
-    return reports(spark, sf_dir).select(F.col(ORDINAL).alias("event_id"), F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("at"))
+    return reports(spark, sf_dir).select(F.col(ORDINAL).alias("event_id"), F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("utc_time"))
 
 
 def nearest_road_ties(spark, sf_dir):
@@ -154,7 +154,7 @@ def oracle_sql(raw: str, base: str, orders: str, near: str, status: str) -> dict
         "stored_results": f"{base} select case when error_code = '' then {sha('valid')} else {sha('rejected')} end as validation_id, '{BATCH}' as batch_id, case when error_code = '' then trim(record_id) else record_id end as record_id, error_code = '' as is_valid, nullif(error_code, '') as error_code, nullif(error_message, '') as error_message, description as raw_description, road_class as raw_road_class, road_name as raw_road_name from marked",
         "stored_orders": f"{base}{orders} select {sha('order')} as issue_order_id, {sha('record')} as record_key, record_id, issue_type, priority, region, status, {at} from orders",
         "optional_fields_filled": f"{without} select record_id, region, cast(null as varchar) as road_name, cast(null as varchar) as road_class, cast(null as varchar) as direction, cast(null as double) as speed_limit from valid",
-        "zoned_times": f"with raw as ({raw}) select _ordinal as event_id, strftime(try_cast(report_time as timestamp) - interval 8 hour, '%Y-%m-%d %H:%M:%S') as at from raw",
+        "zoned_times": f"with raw as ({raw}) select _ordinal as event_id, strftime(try_cast(report_time as timestamp) - interval 8 hour, '%Y-%m-%d %H:%M:%S') as utc_time from raw",
         "nearest_road_ties": f"{base}{near} select v.record_id, case when b.k % 5 > 0 then cast(b.k as varchar) end as matched_road_id, case when b.k % 5 > 0 then b.s_name end as matched_road_name, case when b.k % 5 > 0 then round(b.d, 3) end as match_distance_m, case when b.k % 5 = 0 then 'unmatched' else {status} end as match_status from valid v join best b using (_ordinal)",
         "road_identifiers": "select cast(s_suppkey as bigint) as road_ord, case when s_suppkey % 3 > 0 then concat('r', s_suppkey) end as road_id, s_name as road_name from supplier",
         "road_utm_zone": "select cast(floor(((min(116.4e0 + (s_suppkey * 7919 % 1000) / 1e4) + max(116.42e0 + (s_suppkey * 7919 % 1000) / 1e4)) / 2 + 180) / 6) + 1 as integer) as zone, false as south from supplier",
