@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
@@ -121,8 +122,16 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return words, np.searchsorted(starts, firsts)
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: workers are used again, and what they keep would add up from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
+
+
 def sliced(batches, column: int, size: int = 1 << 21):
-    """The batches in parts whose texts (or binaries) in the column have about so many bytes, a row at least; then freed memory is given back."""
+    """The batches in parts whose texts (or binaries) in the column have about so many bytes, a row at least; after each, freed memory is given back."""
     for b in batches:
         held = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         begin = 0
@@ -130,9 +139,11 @@ def sliced(batches, column: int, size: int = 1 << 21):
             end = max(begin + 1, int(np.searchsorted(held, (held[begin - 1] if begin else 0) + size, "right")))
             yield b.slice(begin, end - begin)
             begin = end
+            give_back()
         if not len(held):
             yield b
-        pa.default_memory_pool().release_unused()
+    _powers.clear()
+    give_back()
 
 
 def chunks(texts: list[str | None], chars: int = 1 << 19):
