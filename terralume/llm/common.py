@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 ROWS_PER_BUCKET = 4096
 #: Bytes of a table that may be broadcast after its size has been measured.
 BROADCAST_BYTES = 8 << 20
+#: Bytes of an Arrow batch on its way to a worker, about, unless the session sets its own; Spark's default is 64 MB or 10,000 rows.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +46,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """The table, its session's Arrow batches bounded by BATCH_BYTES: executors hold them outside the heap, and long texts make them large."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, None) is None:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def release(*tables: DataFrame) -> None:
     """Delete what materialize has written, once all that is read from it has been written itself."""
     for df in tables:

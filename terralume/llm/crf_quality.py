@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terralume.llm.common import sliced
+from terralume.llm.common import bounded, sliced
 from terralume.llm.quality_rules import STOP_WORDS
 from terralume.llm.toxicity import training_rows
 
@@ -166,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", rows: int
             made = [document_features(t)[0].astype(np.float32) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in made], pa.binary()), b.column(1)], names=["x", "label"])
 
-    sample = training_rows(docs, labels, column, rows).mapInArrow(features, "x binary, label int").toArrow()
+    sample = training_rows(bounded(docs), labels, column, rows).mapInArrow(features, "x binary, label int").toArrow()
     if not len(sample):
         return {"w": np.zeros(WIDTH), "transitions": np.zeros((2, 2))}
     rows = sorted(zip(sample["label"].to_pylist(), sample["x"].to_pylist()))
@@ -188,4 +188,4 @@ def with_score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
             scores = score_texts([t or "" for t in b.column(at).to_pylist()], held.value)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return bounded(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))

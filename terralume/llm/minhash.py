@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terralume.llm.common import materialize, release, shingle_sets, sliced
+from terralume.llm.common import bounded, materialize, release, shingle_sets, sliced
 from terralume.llm.ngram_join import COUNTER_BITS, PARITY, ROWS, SEEN, _node, components_of, resolve, summaries
 
 WIDTH = 5
@@ -136,7 +136,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     linked = materialize(rows.join(least, "root").filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "h", "component_id").distinct())
     release(rows)
-    return with_next(docs, linked).mapInArrow(_signed, SIGNED)
+    return with_next(bounded(docs), linked).mapInArrow(_signed, SIGNED)
 
 
 def _bands(batches, width: int):
@@ -165,8 +165,8 @@ def _nodes(batches, width: int):
 def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, h, n, node and root of every document, as ngram_join.grouped has them, from texts that share a band."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    rows = materialize(docs.mapInArrow(lambda it: _nodes(it, width), ROWS))
-    posts = materialize(docs.select("text").mapInArrow(lambda it: _bands(it, width), "token long, node binary, n int, pos int"))
+    rows = materialize(bounded(docs).mapInArrow(lambda it: _nodes(it, width), ROWS))
+    posts = materialize(bounded(docs).select("text").mapInArrow(lambda it: _bands(it, width), "token long, node binary, n int, pos int"))
     order = docs.sparkSession.sparkContext.broadcast(bytes(1 << COUNTER_BITS))
     return resolve(docs, rows, posts, width, percent, order)
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terralume.llm.common import components, materialize, mix, release, shingle_sets, sliced, small
+from terralume.llm.common import bounded, components, materialize, mix, release, shingle_sets, sliced, small
 
 #: Bits of the hash that pick a counter of n-gram frequency; so many counters are broadcast as bytes.
 COUNTER_BITS = 20
@@ -154,9 +154,9 @@ def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, perc
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = materialize(ends.join(nodes, "node").select("node", F.col("at.doc_id").alias("_id"), F.col("at.h").alias("_h")))
     found = docs.join(small(wanted, 48), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("node", "text")
-    sets = materialize(found.mapInArrow(lambda it: _sets(it, width, rarity.value), "node binary, grams binary"))
+    sets = materialize(bounded(found).mapInArrow(lambda it: _sets(it, width, rarity.value), "node binary, grams binary"))
     x = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
-    links = materialize(x.select("a", "b", "pos_a", "pos_b", "ga", "gb").mapInArrow(lambda it: _verified(it, percent), "a binary, b binary"))
+    links = materialize(bounded(x).select("a", "b", "pos_a", "pos_b", "ga", "gb").mapInArrow(lambda it: _verified(it, percent), "a binary, b binary"))
     release(pairs, wanted, sets)
     return links
 
@@ -196,13 +196,13 @@ def _unsettled(posts: DataFrame, roots: DataFrame) -> DataFrame:
 def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, h (xxhash64 of the text), n, node and root of every document; equal roots are one component, rows without shingles have none."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    scan = materialize(docs.mapInArrow(lambda it: _scan(it, width), ROWS + ", counter int, times long"))
+    scan = materialize(bounded(docs).mapInArrow(lambda it: _scan(it, width), ROWS + ", counter int, times long"))
     rows = scan.filter("counter is null").drop("counter", "times")
     often = scan.filter("counter is not null").groupBy("counter").agg(F.sum("times").alias("times")).toArrow()  # 2 ** COUNTER_BITS rows at most
     table = np.zeros(1 << COUNTER_BITS, np.uint8)
     table[often["counter"].to_numpy()] = np.log2(1 + often["times"].to_numpy().astype(np.float64)).astype(np.uint8)
     rarity = docs.sparkSession.sparkContext.broadcast(table.tobytes())
-    posts = docs.select("text").mapInArrow(lambda it: _prefixes(it, width, percent, rarity.value), "token long, node binary, n int, pos int")
+    posts = bounded(docs).select("text").mapInArrow(lambda it: _prefixes(it, width, percent, rarity.value), "token long, node binary, n int, pos int")
     out = resolve(docs, rows, posts, width, percent, rarity)
     rarity.unpersist()
     return out

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralume.llm.common import distributed_rank, materialize, sliced
+from terralume.llm.common import bounded, distributed_rank, materialize, sliced
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -69,7 +69,7 @@ def _pieces(batches, path: str, capacity: int):
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """Documents cut into pieces: doc_id, piece, start, length, ids_crc32. A null text is an empty one (one separator)."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda b: _pieces(b, tokenizer, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda b: _pieces(b, tokenizer, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> Counter:
@@ -242,7 +242,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, order: list | None = None)
             t = t.drop_columns(["rank"]).append_column("sequence_id", pa.array(plan[i, 2] + rank - plan[i, 1])).append_column("offset", pa.array(plan[i, 3]))
             yield from t.to_batches()
 
-    return ranked.mapInArrow(place, items.schema.simpleString()[7:-1].replace(":", " ") + ", sequence_id long, offset long")
+    return bounded(ranked).mapInArrow(place, items.schema.simpleString()[7:-1].replace(":", " ") + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:

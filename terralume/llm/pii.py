@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralume.llm.common import sliced
+from terralume.llm.common import bounded, sliced
 
 #: Base kinds in the order of digests, then the kinds that this operator adds.
 KINDS = ("email", "ip", "card", "phone", "iban", "ipv6", "secret")
@@ -270,7 +270,7 @@ def report(docs: DataFrame) -> DataFrame:
     Null and empty texts have no spans, very long ones are read whole. Repeated rows stay; other columns don't
     matter; no documents give no rows.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_report, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores array<double>")
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_report, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores array<double>")
 
 
 def masked_documents(docs: DataFrame) -> DataFrame:
@@ -290,4 +290,4 @@ def masked_documents(docs: DataFrame) -> DataFrame:
                 cols[chars] = pa.array([None if t is None else len(t) for t in texts], b.schema.field(chars).type)
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)

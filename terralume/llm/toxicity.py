@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terralume.llm.common import materialize, sliced
+from terralume.llm.common import bounded, materialize, sliced
 
 #: Labelled documents that train the classifier, about (chosen by hash from all labelled rows).
 TRAIN_ROWS = 20_000
@@ -91,7 +91,7 @@ def _count(batches):
 
 def language_model(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys and exact counts of the n-grams of all words of all documents, 16 bytes for each distinct one."""
-    rows = docs.select("text").mapInArrow(_count, "gram long, times long").groupBy("gram").agg(F.sum("times").alias("times"))
+    rows = bounded(docs).select("text").mapInArrow(_count, "gram long, times long").groupBy("gram").agg(F.sum("times").alias("times"))
     rows = materialize(rows).toArrow().sort_by("gram")
     return rows["gram"].to_numpy(), rows["times"].to_numpy()
 
@@ -277,7 +277,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", rows: int =
     """The model: language model counts, which grow with the corpus's distinct n-grams, and at most KEPT features and their weights."""
     counts = language_model(docs)
     held = docs.sparkSession.sparkContext.broadcast(counts)
-    x = training_rows(docs, labels, column, rows).mapInArrow(lambda it: _features(it, held.value), "features array<string>, label int").persist()
+    x = training_rows(bounded(docs), labels, column, rows).mapInArrow(lambda it: _features(it, held.value), "features array<string>, label int").persist()
     sizes = {r[0]: r[1] for r in x.groupBy("label").count().collect()}
     yes, no = sizes.get(1, 0), sum(sizes.values()) - sizes.get(1, 0)
     per = x.select("label", F.explode("features").alias("f")).groupBy("f").agg(F.count_if(F.col("label") == 1).alias("a"), F.count_if(F.col("label") != 1).alias("b"))
@@ -291,7 +291,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", rows: int =
             f = [sorted(place[i] for i in r if i in place) for r in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.int32())), b.column(1)], names=["f", "label"])
 
-    sample = x.mapInArrow(only, "f array<int>, label int").toArrow()  # rows times KEPT at most, most are far shorter
+    sample = bounded(x).mapInArrow(only, "f array<int>, label int").toArrow()  # rows times KEPT at most, most are far shorter
     x.unpersist()
     weights = np.array([0.0] * len(kept) + [math.log(yes + 0.5) - math.log(no + 0.5)])
     if kept and len(sample):
@@ -341,7 +341,7 @@ def with_score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
         for b in sliced(batches, at):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([scorer.score(t or "") for t in b.column(at).to_pylist()], pa.float64())], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return bounded(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
